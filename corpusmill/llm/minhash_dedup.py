@@ -8,8 +8,9 @@ above 1 - 1e-6. Every link is confirmed on the full shingle sets.
 Texts with equal shingle sets are one *class* before anything is compared, so exact copies
 cost one row each. Candidates in a bucket are never paired all with all: each member meets
 the bucket's first and last class, the links make components, and only members of
-different components of a bucket are then compared, so a large group of near copies costs
-about one comparison a member while no link between components is lost.
+different components of a bucket are then compared: pair by pair where these are few, else
+by their rarest shingles (see ``_rare_pairs``), so a large group of near copies costs a few
+comparisons a member while no link between components is lost.
 
 Nulls and blanks: a null or wordless text has an empty set and is linked with nothing. Rows
 with a null id come back with a null component and are kept. Repeated ids with equal texts
@@ -25,7 +26,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import bytetext as B
 from .components import components
@@ -34,6 +35,8 @@ from .scratch import materialize, small
 BANDS, ROWS = 24, 5
 #: Of 120 two-bit codes, a pair at the threshold 0.85 agrees on 106 in the mean (deviation 3.5); under 82 it isn't compared.
 CODES_AGREE = 82
+#: A bucket with at most so many pairs a member across components is compared pair by pair.
+LIGHT = 4
 _FEATURES = "doc_id long, n_shingles long, class_id binary, bands array<long>, c0 long, c1 long, c2 long, c3 long"
 
 
@@ -138,15 +141,37 @@ def _links(texts: DataFrame, classes: DataFrame, percent: int, shingle: int) ->
     member = shared.select("bucket", "class_id").join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").select("bucket", "class_id", F.coalesce("component", "class_id").alias("part"))
     member = materialize(member, "members")
     # The commonest component of a bucket; of two members of different components one at least is outside it.
-    main = member.groupBy("bucket", "part").count().groupBy("bucket").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = member.join(main.select("bucket", "main"), "bucket")
-    mixed = materialize(mixed, "mixed")
-    x, y = mixed.where("part <> main").alias("x"), mixed.alias("y")
+    part = member.groupBy("bucket", "part").count()
+    main = part.groupBy("bucket").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"), F.count("*").alias("parts"))
+    main = main.where("parts > 1").select("bucket", "main", ((F.col("n") * F.col("n") - F.col("same")) > 2 * LIGHT * F.col("n")).alias("heavy"))
+    mixed = materialize(member.join(main, "bucket"), "mixed")
+    x, y = mixed.where("not heavy and part <> main").alias("x"), mixed.where("not heavy").alias("y")
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("y.main")) | (F.col("x.class_id") < F.col("y.class_id")))).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"))
+    pairs = pairs.unionByName(_rare_pairs(mixed.where("heavy").select("class_id", "part").distinct(), texts, classes, percent, shingle))
     more = _verified(_candidates(pairs, classes, percent), texts, classes, percent, shingle)
     return first if more is None else first.unionByName(more)
 
 
+def _rare_pairs(members: DataFrame, texts: DataFrame, classes: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Every pair of ``members(class_id, part)`` of different parts that can reach the threshold.
+
+    Two sets of similarity t share one of the n - ceil(t * n) + 1 rarest shingles of each, in
+    one order of all shingles; counted among the members, these lists are short where texts
+    differ, so the join is on such a shingle. Nothing is lost and nothing is capped.
+    """
+    members = materialize(members, "heavy")
+    ids = materialize(classes.join(members, "class_id", "left_semi").select(F.col("first_id").alias("doc_id")).distinct(), "ids")
+    sets = texts.join(small(ids), "doc_id", "left_semi").select("text").mapInArrow(partial(_class_sets, k=shingle), "class_id binary, shingles array<long>")
+    own = materialize(sets.dropDuplicates(["class_id"]), "sets")
+    each = own.select("class_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    ranked = each.join(each.groupBy("s").agg(F.count("*").alias("df")), "s").withColumn("place", F.row_number().over(Window.partitionBy("class_id").orderBy("df", "s")))
+    rare = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).join(members, "class_id").select("s", "class_id", "part", "n")
+    rare = materialize(rare, "rare")
+    x, y = rare.alias("x"), rare.alias("y")
+    fits = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    return x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.class_id") < F.col("y.class_id")) & (F.col("x.part") != F.col("y.part")) & fits).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"))
+
+
 def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs whose set sizes and signature codes leave the threshold possible, as ``a, b, na, nb`` with a < b."""
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
