@@ -10,6 +10,7 @@ from .decontaminate import contamination
 from .language_id import identify_documents
 from .minhash_dedup import minhash_dedup
 from .mixing import mixing_rates
+from .packing import pack
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
