@@ -18,4 +18,19 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN own USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op5_decontaminate": _OP5}
+_OP1 = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length(text) + length(regexp_replace(text, '[^\\\\\\[\\]<]', '', 'g')) AS body,
+    length(role) + length(regexp_replace(role, '[^\\\\\\[\\]<]', '', 'g')) AS name FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(body + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 ELSE 16 + name END) AS BIGINT) AS formatted_chars,
+  false AS rewrites_history
+FROM e GROUP BY conv_id
+"""
+
+SQL: dict[str, str] = {"op1_chat_format": _OP1, "op5_decontaminate": _OP5}
