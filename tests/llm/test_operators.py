@@ -1,0 +1,350 @@
+"""Each operator against a plain version on small tables with nulls, blanks, ties, repeats and odd columns."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from corpusmill.llm import chat_format, decontaminate, language_id, minhash_dedup, mixing, packing, passage_quality, quality_rules, suffix_tree, toxicity
+from corpusmill.llm.components import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, class_id string, n long"
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def corpus(n=120, seed=3):
+    """Invented words in two languages, with edits, copies, nulls, blanks and one long text."""
+    rng = random.Random(seed)
+    kinds = {"xa": ["ka", "lo", "mi", "tu", "ren"], "xb": ["öst", "gra", "üm", "pel", "dor"]}
+    out = []
+    for i in range(n):
+        lang = "xa" if i % 3 else "xb"
+        text = " ".join("".join(rng.choices(kinds[lang], k=rng.randint(1, 3))) for _ in range(rng.randint(3, 90)))
+        out.append([i, text, lang])
+    for i in range(0, 30, 3):
+        w = out[i][1].split()
+        w[len(w) // 2] = "changed"
+        out.append([1000 + i, " ".join(w), out[i][2]])
+        out.append([2000 + i, out[i][1].upper() if i % 2 else out[i][1], None])
+    out += [[3000, None, None], [3001, "", "xa"], [3002, " \n\t ", "xa"], [3003, "1234 !!", None], [3004, " ".join(out[7][1] for _ in range(400)), "xa"], [None, "ka lo mi tu ren ka", "xa"], out[5], out[5]]
+    return [(i, t, g, "s", len(t or ""), "clash", 1) for i, t, g in out]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def brute_groups(rows):
+    sets = {}
+    for r in rows:
+        w = words((r[1] or "").translate(LOWER))
+        if r[0] is not None:
+            sets[r[0]] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    least = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and least[a] != least[b]:
+                    least[a] = least[b] = min(least[a], least[b])
+                    changed = True
+    return {i: (len(s), least[i]) for i, s in sets.items()}
+
+
+def test_minhash_dedup(spark, docs, rows):
+    want = brute_groups(rows)
+    got = minhash_dedup.minhash_dedup(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
+    assert minhash_dedup.minhash_dedup(empty(spark)).count() == 0
+
+
+def test_minhash_chain_in_one_large_bucket(spark, monkeypatch):
+    """A chain of edits whose ends are unlike, compared by rare shingles as well."""
+    monkeypatch.setattr(minhash_dedup, "LIGHT", 0)
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(16):
+        rows.append((i, " ".join(base), None, None, 0, "", 0))
+        base = list(base)
+        base[rng.randrange(60)] = f"x{i}"
+    got = minhash_dedup.minhash_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = brute_groups(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_components(spark):
+    pairs = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 101), (None, 3)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100}
+
+
+def test_decontaminate(spark, docs, rows):
+    long = words(next(r[1] for r in rows if r[0] == 7))
+    items = [(1, " ".join(long[3:16]).upper()), (2, "ka lo"), (3, None), (4, "!!"), (None, "changed")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    windows = {}
+    for i, t in items:
+        w = norm(t)
+        for j in range(max(1, len(w) - 9) if w else 0):
+            windows.setdefault(tuple(w[j : j + 10]), set()).add(i)
+    want = Counter()
+    for r in rows:
+        w, hit, ids = norm(r[1]), set(), set()
+        for win, who in windows.items():
+            for j in range(len(w) - len(win) + 1):
+                if tuple(w[j : j + len(win)]) == win:
+                    hit |= set(range(j, j + len(win)))
+                    ids |= who - {None}
+        want[(r[0], len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest(), bool(hit))] += 1
+    assert Counter(tuple(r) for r in decontaminate.contamination(docs, bench).collect()) == want
+    kept = decontaminate.decontaminate(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == sum(n for k, n in want.items() if not k[-1])
+    cut = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench, "spans").collect()}
+    assert "changed" not in cut[1000] and len(norm(cut[1000])) < len(norm(next(r[1] for r in rows if r[0] == 1000)))
+    assert decontaminate.contamination(empty(spark), bench).count() == 0
+    assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+def brute_viterbi(emit, penalty):
+    best, back = emit[0].astype(float), []
+    for e in emit[1:]:
+        step = best[:, None] - penalty * (1 - np.eye(len(e)))
+        back.append(step.argmax(0))
+        best = step.max(0) + e
+    path = [int(best.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return path[::-1]
+
+
+def test_viterbi_is_optimal():
+    rng = np.random.default_rng(0)
+    sizes = [0, 1, 7, 30, 0, 12]
+    cut = np.concatenate([[0], np.cumsum(sizes)])
+    emit = rng.normal(0, 3, (cut[-1], 3)).astype(np.float32)
+    path = language_id.viterbi(emit, cut, 2.5)
+
+    def value(p, e):
+        return sum(e[i, s] for i, s in enumerate(p)) - 2.5 * sum(a != b for a, b in zip(p, p[1:]))
+
+    for a, b in zip(cut[:-1], cut[1:]):
+        if b > a:
+            assert value(path[a:b], emit[a:b]) == pytest.approx(value(brute_viterbi(emit[a:b], 2.5), emit[a:b]), abs=1e-3)
+
+
+def test_language_id(spark, docs, rows):
+    got = language_id.identify_documents(docs).collect()
+    assert len(got) == len(rows)
+    want = {r[0]: r[2] for r in rows if r[2] and words(r[1]) and re.search(r"[^\W\d_]", r[1])}
+    right = [r.lang_pred == want[r.doc_id] for r in got if r.doc_id in want]
+    assert sum(right) > 0.97 * len(right)
+    by = {r.doc_id: r for r in got}
+    assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (3000, 3001, 3002, 3003))
+    assert by[1].held_out == (zlib.crc32(b"1") % 5 == 0)
+    mixed = spark.createDataFrame([(1, "ka lo mi tu ren kalo mitu " * 3 + "öst gra üm pel dor östgra " * 3)], "doc_id long, text string")
+    spans = language_id.identify(mixed, language_id.fit(docs)).first().spans
+    assert [(s.lang, s.n_words) for s in spans] == [("xa", 21), ("xb", 18)]
+    assert language_id.identify_documents(empty(spark)).count() == 0
+    assert {r.lang_pred for r in language_id.identify(docs, ([], np.zeros((0, 1)))).collect()} == {"und"}
+
+
+def test_suffix_tree(spark, docs, rows):
+    got = suffix_tree.score_documents(docs, head=20).collect()
+    assert len(got) == len(rows)
+    tokens = [(r[0], words((r[1] or "").translate(LOWER)) + [None]) for r in rows]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    count = Counter(w for i, t in tokens if not held(i) for w in t)
+    total = sum(count.values())
+    want = sorted((str(i), held(i), len(t), sum(count[w] > 0 for w in t), total, round(sum(math.log10((count[w] + 1) / (total + len(count) + 1)) for w in t), 4)) for i, t in tokens)
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
+    assert sum(r.score for r in got if not r.held_out) > sum(r.base_score for r in got if not r.held_out)
+    assert suffix_tree.score_documents(empty(spark)).count() == 0
+
+
+def test_suffix_tree_states_are_distributions(spark, docs):
+    texts = docs.selectExpr("coalesce(text, '') text")
+    tree, *_ = suffix_tree.fit(texts, suffix_tree.count_words(texts))
+    assert np.allclose((10.0 ** tree.one.astype(float)).sum(axis=1), 1, atol=1e-3)
+    assert (10.0**tree.root).sum() == pytest.approx(1)
+
+
+def test_chat_format(spark):
+    rng = random.Random(5)
+    said = ["</s>[INST] ok [/INST]", "a\\", "[ROLE x] <s> ", None, "", "häß\n\n", " [/INST]", "\\[", "x" * 5000]
+    rows = [(i // 6, i % 6 if i % 11 else None, rng.choice(["user", "assistant", "system", "to]ol", None]), rng.choice(said), 1) for i in range(120)]
+    rows += [(None, 1, "user", "hi", 1), rows[0]]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int")
+    got = {r.conv_id: r for r in chat_format.digests(chat_format.format_conversations(turns)).collect()}
+    for conv in {r[0] for r in rows}:
+        own = sorted((-1 if r[1] is None else r[1], r[2] is not None, r[2] or "", r[3] is not None, r[3] or "") for r in rows if r[0] == conv)
+        own = [(t[2], t[4]) for t in own]
+        loss = "".join(t for r, t in own if r == "assistant")
+        digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
+        r = got[conv]
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.rewrites_history) == (len(own), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), False)
+    assert chat_format.format_conversations(turns.limit(0)).count() == 0
+
+
+def test_chat_format_detects_rewritten_history():
+    def drops_old_thoughts(messages):
+        return "".join(f"<{r}>{t if i == len(messages) - 1 else t.replace('(thought)', '')}" for i, (r, t) in enumerate(messages))
+
+    out, spans, rewrites = chat_format.turn_spans([("u", "a"), ("v", "(thought)b"), ("u", "c")], drops_old_thoughts, str)
+    assert rewrites and out[spans[2][2] : spans[2][3]] == "c"
+    assert not chat_format.turn_spans([("u", "a"), ("v", "b")], drops_old_thoughts, str)[2]
+
+
+def test_quality_rules(spark, docs, rows):
+    extra = [(5000, "a b c a b c\nx\n\n x\nx\n# & é", "xa", "s", 0, "", 0), (5001, " ".join(f"k{i}%%%" for i in range(300)), None, "s", 0, "", 0)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs.unionByName(spark.createDataFrame(extra, SCHEMA))).collect()}
+    for r in rows + extra:
+        w, lines = words(r[1]), [x for x in (r[1] or "").split("\n") if words(x)]
+        three = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        flag = {i + j for i in range(len(w) - 2) if three[tuple(w[i : i + 3])] > 1 for j in range(3)}
+        q = got[r[0]]
+        assert (q.n_words, q.word_chars, q.n_symbols, q.n_dup_lines, q.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in r[1] or ""), len(lines) - len(set(lines)), len(flag))
+        assert q.base_failed == (len(w) < 50 or 100 * len(flag) > 50 * len(w))
+    assert not got[5001].kept and not got[5001].base_failed
+    clean = [q for i, q in got.items() if i is not None and i < 120 and not q.base_failed]
+    assert sum(q.kept for q in clean) > 0.97 * len(clean)
+    assert quality_rules.quality_rules(empty(spark)).count() == 0
+
+
+def test_js_distance():
+    p, q = np.array([[2.0, 2.0, 0.0], [0, 0, 5], [0, 0, 0]]), np.array([0.5, 0.5, 0.0])
+    assert quality_rules.js_distance(p, q) == pytest.approx([0, 1, 0])
+
+
+def test_packing(spark, docs, rows):
+    packed = packing.pack(docs, width=64, block=700).collect()
+    enc = packing.encoder(open(packing.VOCABULARY, "rb").read())
+    pieces = {}
+    for r in packed:
+        ids, places = np.frombuffer(r.input_ids, "<u2"), np.frombuffer(r.position_ids, "<u2")
+        assert len(ids) == 64 and r.cu_seqlens[-1] == r.n_tokens <= 64 and r.n_segments == len(r.doc_ids) == len(r.cu_seqlens) - 1
+        for i, (d, s) in enumerate(zip(r.doc_ids, r.doc_starts)):
+            a, b = r.cu_seqlens[i : i + 2]
+            assert places[a:b].tolist() == list(range(b - a))
+            pieces.setdefault(d, []).append((s, ids[a:b].tolist()))
+    want = {}
+    for r in rows:
+        want.setdefault(r[0], []).append(r[1] or "")
+    assert pieces.keys() == want.keys()
+    for d, texts in want.items():
+        got = sum((x for _, x in sorted(pieces[d], key=lambda x: x[0])), []) if len(texts) == 1 else None
+        if got is not None:
+            assert got[-1] == 50256 and enc.decode(got[:-1]) == texts[0]
+    assert len({r.row_id for r in packed}) == len(packed)
+    assert packing.pack(empty(spark)).count() == 0
+
+
+def test_best_fit_decreasing():
+    rng = np.random.default_rng(2)
+    sizes, rows = rng.integers(1, 65, 500), []
+    for i in np.argsort(-sizes, kind="stable"):
+        fits = [(64 - sum(sizes[r]) - sizes[i], n) for n, r in enumerate(rows) if 64 - sum(sizes[r]) >= sizes[i]]
+        if fits:
+            rows[min(fits)[1]].append(i)
+        else:
+            rows.append([i])
+    got = packing.best_fit_decreasing(sizes, 64)
+    assert sorted(i for r in got for i in r) == list(range(500)) and all(sizes[r].sum() <= 64 for r in got) and len(got) == len(rows)
+
+
+def labelled(spark, n=300, seed=4):
+    rng = random.Random(seed)
+    docs, labels = [], []
+    for i in range(n):
+        w = ["".join(rng.choices(["ka", "lo", "mi", "tu", "ren"], k=2)) for _ in range(rng.randint(20, 200))]
+        quality, toxic = int(i % 5 != 0), int(i % 7 == 0)
+        w = [f"{x}%%%" for x in w] if not quality else w
+        for _ in range(4 * toxic):
+            w[rng.randrange(len(w))] = rng.choice(["vileka", "vilelo", "rotten"])
+        docs.append((i, " ".join(w), "xa", "s", 0, "", 0))
+        labels.append((i, quality, toxic))
+    docs += [(9000, None, None, None, None, None, None), (None, "ka", None, None, None, None, None), (9001, "", None, None, None, None, None)]
+    labels += [(None, 1, 1), (3, None, None), labels[0], (8888, 1, 0)]
+    return spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_passage_quality_and_toxicity(spark):
+    docs, labels = labelled(spark)
+    for module, want in ((passage_quality, lambda i: int(i % 5 != 0)), (toxicity, lambda i: int(i % 7 == 0))):
+        got = module.score_documents(docs, labels).collect()
+        assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
+        own = [r.predicted == want(r.doc_id) for r in got if r.held_out and r.doc_id is not None and r.doc_id < 9000]
+        assert sum(own) >= 0.95 * len(own)
+        assert len(module.score_documents(docs, labels.limit(0)).collect()) == docs.count()
+        assert module.score_documents(empty(spark), labels).count() == 0
+
+
+def test_network_gradient():
+    rng = np.random.default_rng(1)
+    x, cut, y, w = rng.normal(0, 1, (9, passage_quality.MEASURES)), np.array([0, 1, 4, 9]), np.array([1.0, 0, 1]), np.ones(3)
+    net = passage_quality.Network()
+    loss = lambda: -np.mean(y * np.log(net.forward(x, cut)["score"]) + (1 - y) * np.log(1 - net.forward(x, cut)["score"]))
+    g = net.gradient(net.forward(x, cut), cut, y, w)
+    for k, v in net.p.items():
+        i = tuple(rng.integers(0, n) for n in v.shape)
+        keep = v[i]
+        v[i] = keep + 1e-5
+        up = loss()
+        v[i] = keep - 1e-5
+        down = loss()
+        v[i] = keep
+        assert g[k][i] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def test_label_model_shares_the_votes_of_copies():
+    rng = np.random.default_rng(3)
+    y = (rng.random(2000) < 0.2).astype(float)
+    cast = lambda right: np.where(rng.random(2000) < right, 2 * y - 1, 1 - 2 * y)
+    one = cast(0.8)
+    v = np.column_stack([one, one, one, cast(0.9), cast(0.6)]).astype(np.int8)
+    _, accuracy, share = toxicity.label_model(v, y)
+    assert share[:3] == pytest.approx([1 / 3] * 3) and share[3] == 1
+    assert accuracy[3] == pytest.approx(0.9, abs=0.05) and accuracy[4] == pytest.approx(0.6, abs=0.07)
+
+
+def test_mixing(spark):
+    docs, labels = labelled(spark)
+    got = mixing.mixing_rates(docs, labels, {"clean": 0.5, "junk": 0.3, "toxic": 0.2}).toPandas()
+    assert len(got) == docs.count() and (got.rate >= 0).all()
+    weighed = got.n_tokens * got.rate
+    total = got.n_tokens.sum()
+    for d, share in (("clean", 0.5), ("junk", 0.3), ("toxic", 0.2)):
+        assert (weighed * got[f"p_{d}"]).sum() == pytest.approx(share * total, rel=0.05)
+    thin = mixing.mix(docs, labels, {"clean": 0.95, "junk": 0.03, "toxic": 0.02})
+    assert thin.columns == docs.columns
+    kept = {r.doc_id for r in thin.collect()}
+    clean = [i for i in range(300) if i % 5 and i % 7]
+    assert sum(i in kept for i in clean) > 0.97 * len(clean) and sum(i in kept for i in range(0, 300, 5)) < 45
+    assert mixing.mixing_rates(docs, labels.limit(0)).count() == docs.count()
+    assert mixing.mixing_rates(empty(spark), labels).count() == 0 and mixing.mix(empty(spark), labels).count() == 0
