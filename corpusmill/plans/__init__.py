@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base
+from . import base, search
 
-_MODULES = [base]
+_MODULES = [base, search]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
