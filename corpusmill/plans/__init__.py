@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, search
+from . import analytics, base, graph, search
 
-_MODULES = [base, search]
+_MODULES = [base, search, analytics, graph]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
