@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, base, graph, search
+from . import analytics, arrow, base, graph, search
 
-_MODULES = [base, search, analytics, graph]
+_MODULES = [base, search, analytics, graph, arrow]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
