@@ -165,10 +165,12 @@ def _rare_pairs(members: DataFrame, texts: DataFrame, classes: DataFrame, percen
     own = materialize(sets.dropDuplicates(["class_id"]), "sets")
     each = own.select("class_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     ranked = each.join(each.groupBy("s").agg(F.count("*").alias("df")), "s").withColumn("place", F.row_number().over(Window.partitionBy("class_id").orderBy("df", "s")))
-    rare = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).join(members, "class_id").select("s", "class_id", "part", "n")
+    rare = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).join(members, "class_id").select("s", "class_id", "part", "n", "place")
     rare = materialize(rare, "rare")
     x, y = rare.alias("x"), rare.alias("y")
     fits = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    # The first shingle that two sets share leaves at most what follows it in each; a pair that qualifies passes there.
+    fits &= (100 + percent) * (1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))) >= percent * (F.col("x.n") + F.col("y.n"))
     return x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.class_id") < F.col("y.class_id")) & (F.col("x.part") != F.col("y.part")) & fits).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"))
 
 
