@@ -2,7 +2,7 @@
 
 import pytest
 
-from test_operators import SCHEMA, corpus  # noqa: F401
+from test_llm_operators import SCHEMA, corpus  # noqa: F401
 
 
 @pytest.fixture(scope="module")
