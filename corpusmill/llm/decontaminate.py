@@ -88,7 +88,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents",
     if remove != "spans":
         raise ValueError(f"remove is 'documents' or 'spans', not {remove!r}")
     text = F.col(text_col).cast("string")
-    gaps, own = F.split(text, _WORD), F.array_remove(F.split(text, _BETWEEN), "")
-    kept = F.transform(own, lambda w, i: F.when(F.array_contains("__hit", i), F.lit("")).otherwise(F.concat(F.get(gaps, i), w)))
-    cut = F.concat(F.array_join(kept, ""), F.element_at(gaps, -1))
+    # Both arrays are bound once for a text, as elements of an array of one.
+    parts = F.array(F.struct(F.split(text, _WORD).alias("gaps"), F.array_remove(F.split(text, _BETWEEN), "").alias("own")))
+
+    def without(x: Column) -> Column:
+        n = F.size(x["own"])
+        stay = F.when(n > 0, F.array_except(F.sequence(F.lit(0), n - 1), F.col("__hit").cast("array<int>")))
+        return F.concat(F.array_join(F.transform(stay, lambda i: F.concat(F.get(x["gaps"], i), F.get(x["own"], i))), ""), F.element_at(x["gaps"], -1))
+
+    cut = F.transform(parts, without)[0]
     return out.withColumn(text_col, F.when(F.col("__hit").isNull(), text).otherwise(cut)).select(*docs.columns)

@@ -100,13 +100,13 @@ def label_model(v: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[np.ndar
     """
     n, m = v.shape
     accuracy, prior = np.full(m, 0.7), float(np.clip(y.mean() if n else 0.1, 0.01, 0.5))
-    share, post = np.ones(m), y.astype(float)
-    for step in range(rounds):
+    post = y.astype(float)
+    # Before the posteriors follow the votes: a vote given three times would hide its own correlation.
+    share = _vote_shares(v, post)
+    for _ in range(rounds):
         cast, right = (v != 0).sum(axis=0), ((v == 1) * post[:, None] + (v == -1) * (1 - post[:, None])).sum(axis=0)
         accuracy = np.clip((right + 2) / (cast + 3), 0.05, 0.995)
         prior = float(np.clip(post.mean() if n else prior, 0.005, 0.5))
-        if step == rounds // 2:
-            share = _vote_shares(v, post)
         weight = share * np.log(accuracy / (1 - accuracy))
         z = np.log(prior / (1 - prior)) + v @ weight + np.where(y > 0.5, 3.0, -3.0)
         post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -115,13 +115,13 @@ def label_model(v: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[np.ndar
 
 def _vote_shares(v: np.ndarray, post: np.ndarray) -> np.ndarray:
     """1 over the number of voters that correlate with one, given the class."""
-    cast = (v != 0).astype(float)
+    given = v.astype(float)
     corr = np.zeros((v.shape[1],) * 2)
     for w in (post, 1 - post):
         total = w.sum()
         if total < 20:
             continue
-        x = cast - (w @ cast) / total
+        x = given - (w @ given) / total
         cov = (x * w[:, None]).T @ x / total
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         corr = np.maximum(corr, np.where(np.outer(sd, sd) > 1e-4, np.abs(cov) / np.outer(sd, sd), 0))
