@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.default_rng(20240501)

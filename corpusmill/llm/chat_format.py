@@ -26,6 +26,8 @@ from os.path import commonprefix
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .scratch import map_arrow
+
 _ESCAPE = re.compile(r"[\\\[\]<]")
 _UNESCAPE = re.compile(r"\\(.)", re.S)
 _BODY = r"[^\\\[\]<]*(?:\\.[^\\\[\]<]*)*"
@@ -101,7 +103,7 @@ def format_conversations(turns: DataFrame, template: Callable[[list[tuple[str, s
     """``conv_id, formatted, spans, rewrites_history`` from rows ``conv_id, turn, role, text``."""
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).alias("t"))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    return whole.mapInArrow(lambda it: _format(it, template, escaped), _SCHEMA)
+    return map_arrow(whole, lambda it: _format(it, template, escaped), _SCHEMA)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,4 +119,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(formatted: DataFrame) -> DataFrame:
     """What the formatted conversations say when they are read back."""
-    return formatted.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean")
+    return map_arrow(formatted, _digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean")

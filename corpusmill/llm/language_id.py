@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bytetext as B
+from .scratch import map_arrow
 
 TRAIN_DOCS = 20_000
 #: Distinct languages of one model; more need a finer ``lang`` column.
 MAX_LANGS = 256
 BUCKETS = 1 << 16
 PENALTY = 12.0
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
 #: First code point of each script range and the script's number (0: none of these).
 _RANGES = [(0x00, 0), (0x41, 1), (0x5B, 0), (0x61, 1), (0x7B, 0), (0xC0, 1), (0x250, 0), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x780, 0), (0x900, 7), (0x980, 8), (0xA00, 0), (0xE00, 9), (0xE80, 0), (0x10A0, 10), (0x1100, 11), (0x1200, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 12), (0x3100, 0), (0x3400, 13), (0xA000, 0), (0xAC00, 11), (0xD7B0, 0), (0x20000, 13), (0x30000, 0)]
 _SCRIPTS = 14
@@ -100,7 +101,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", tra
     size = 2 * BUCKETS + _SCRIPTS
     seen = np.zeros((len(langs), size))
     if langs:
-        got = rows.mapInArrow(lambda it: _count(it, langs), "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+        got = map_arrow(rows, lambda it: _count(it, langs), "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
         seen[got.lang.to_numpy(), got.bucket.to_numpy()] = got.n.to_numpy()
     score = np.zeros((len(langs), size), np.float32)
     for part, weight in ((slice(0, BUCKETS), 0.5), (slice(BUCKETS, 2 * BUCKETS), 0.5)):
@@ -188,7 +189,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     """Every row's ``doc_id, lang_pred, score, spans`` (words counted from 0 among runs of letters)."""
     kept = docs.sparkSession.sparkContext.broadcast(model)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(lambda it: _label(it, kept, penalty), "doc_id long, lang_pred string, score double, spans array<struct<first_word:long,n_words:long,lang:string>>")
+    return map_arrow(texts, lambda it: _label(it, kept, penalty), "doc_id long, lang_pred string, score double, spans array<struct<first_word:long,n_words:long,lang:string>>")
 
 
 def identify_documents(docs: DataFrame, mod: int = 5, rest: int = 0, train_docs: int = TRAIN_DOCS) -> DataFrame:

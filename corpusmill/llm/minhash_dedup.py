@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import bytetext as B
 from .components import components
-from .scratch import materialize, small
+from .scratch import map_arrow, materialize, small
 
 BANDS, ROWS = 24, 5
 #: Of 120 two-bit codes, a pair at the threshold 0.85 agrees on 106 in the mean (deviation 3.5); under 82 it isn't compared.
@@ -111,7 +111,7 @@ def _class_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, shingle: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row: links of texts with ``100 * |A & B| >= percent * |A | B|``."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    features = materialize(texts.mapInArrow(partial(_features, k=shingle, bands=bands, rows=rows), _FEATURES), "features")
+    features = materialize(map_arrow(texts, partial(_features, k=shingle, bands=bands, rows=rows), _FEATURES), "features")
     known = features.where("class_id is not null and doc_id is not null")
     classes = materialize(known.groupBy("class_id").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), *(F.first(f"c{i}").alias(f"c{i}") for i in range(4))), "classes")
     found = _links(texts, classes, percent, shingle)
@@ -161,7 +161,7 @@ def _rare_pairs(members: DataFrame, texts: DataFrame, classes: DataFrame, percen
     """
     members = materialize(members, "heavy")
     ids = materialize(classes.join(members, "class_id", "left_semi").select(F.col("first_id").alias("doc_id")).distinct(), "ids")
-    sets = texts.join(small(ids), "doc_id", "left_semi").select("text").mapInArrow(partial(_class_sets, k=shingle), "class_id binary, shingles array<long>")
+    sets = map_arrow(texts.join(small(ids), "doc_id", "left_semi").select("text"), partial(_class_sets, k=shingle), "class_id binary, shingles array<long>")
     own = materialize(sets.dropDuplicates(["class_id"]), "sets")
     each = own.select("class_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     ranked = each.join(each.groupBy("s").agg(F.count("*").alias("df")), "s").withColumn("place", F.row_number().over(Window.partitionBy("class_id").orderBy("df", "s")))
@@ -191,7 +191,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent: i
         return None
     ends = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))).distinct()
     ids = materialize(classes.join(ends, "class_id", "left_semi").select(F.col("first_id").alias("doc_id")).distinct(), "ids")
-    sets = materialize(texts.join(small(ids), "doc_id", "left_semi").select("text").mapInArrow(partial(_class_sets, k=shingle), "class_id binary, shingles array<long>"), "sets")
+    sets = materialize(map_arrow(texts.join(small(ids), "doc_id", "left_semi").select("text"), partial(_class_sets, k=shingle), "class_id binary, shingles array<long>"), "sets")
     joined = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return materialize(joined.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b"), "verified")

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from .scratch import map_arrow
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 WIDTH = 2048
 #: Tokens that a task holds at once, beside its longest document.
@@ -145,4 +147,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     with open(vocabulary, "rb") as f:
         kept = docs.sparkSession.sparkContext.broadcast(f.read())
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(lambda it: _pack(it, kept, width, block), _SCHEMA)
+    return map_arrow(texts, lambda it: _pack(it, kept, width, block), _SCHEMA)

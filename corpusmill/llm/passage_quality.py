@@ -23,6 +23,7 @@ from . import bytetext as B
 from .labelled import labelled_sample
 from .language_id import held_out
 from .quality_rules import _groups, _keyed
+from .scratch import map_arrow
 
 LABELLED, PASSAGE, HIDDEN, GATE = 8_000, 128, 16, 8
 MEASURES = 15
@@ -123,7 +124,7 @@ class Network:
 
 def fit(sample: DataFrame) -> Network | None:
     """A network from ``text, y``; none without labels."""
-    got = sample.mapInArrow(_encode, "x array<float>, y double").toPandas()
+    got = map_arrow(sample, _encode, "x array<float>, y double").toPandas()
     if not len(got):
         return None
     cut = np.concatenate([[0], np.cumsum([len(x) // MEASURES for x in got.x])])
@@ -148,7 +149,7 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
     """Every row's ``doc_id, score, n_passages, top_attention`` (the largest weight of a passage)."""
     given = docs.sparkSession.sparkContext.broadcast(net)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(lambda it: _score(it, given), "doc_id long, score double, n_passages long, top_attention double")
+    return map_arrow(texts, lambda it: _score(it, given), "doc_id long, score double, n_passages long, top_attention double")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, limit: int = LABELLED) -> DataFrame:

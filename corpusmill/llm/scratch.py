@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A side of at most this many narrow rows (16 MB of ids) is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of one Arrow batch to a Python worker.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +32,14 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches of ``BATCH_BYTES`` at most (or one row), so that long texts don't fill a worker; a limit that the session sets is kept."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, "67108864b") in ("67108864b", "67108864"):
+        conf.set(key, BATCH_BYTES)
+    return df.mapInArrow(f, schema)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete every table that ``materialize`` has written; results that still read one must be written first."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corpusmill")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import bytetext as B
 from .labelled import labelled_sample
 from .language_id import held_out
+from .scratch import map_arrow
 
 LABELLED = 8_000
 #: Listed words at most, least texts of one, words of the linear classifier.
@@ -143,7 +144,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.2,
 
 def fit(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted hashes of the classifier's words, their weights and the bias, from ``text, y``."""
-    got = sample.mapInArrow(_encode, "words array<long>, upper double, bangs double, y double").toPandas()
+    got = map_arrow(sample, _encode, "words array<long>, upper double, bangs double, y double").toPandas()
     n = len(got)
     none = (np.zeros(0, np.uint64), np.zeros(0), -6.0)
     if not n or not got.y.max():
@@ -190,7 +191,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
     """Every row's ``doc_id, score``."""
     given = docs.sparkSession.sparkContext.broadcast(model)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(lambda it: _score(it, given), "doc_id long, score double")
+    return map_arrow(texts, lambda it: _score(it, given), "doc_id long, score double")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0, limit: int = LABELLED) -> DataFrame:
