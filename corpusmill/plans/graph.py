@@ -61,7 +61,7 @@ def kg_stats(spark: SparkSession, sf: str) -> DataFrame:
     return count(G.entities(m), "entities").crossJoin(count(m, "mentions")).crossJoin(count(G.relations(m), "relations")).crossJoin(count(m, "chunks", F.count_distinct("chunk_id")))
 
 
-@query(_R + _Q + " SELECT e.name, 1.0 AS score FROM e JOIN q USING (name)")
+@query(_R + _Q + " SELECT e.name, 1.0::DOUBLE AS score FROM e JOIN q USING (name)")
 def graph_match(spark: SparkSession, sf: str) -> DataFrame:
     e = G.entities(_mentions(spark, sf))
     return e.join(_asked(e), "name", "left_semi").select("name", F.lit(1.0).alias("score"))
