@@ -7,7 +7,7 @@ above 1 - 1e-6. Every link is confirmed on the full shingle sets.
 
 Texts with equal shingle sets are one *class* before anything is compared, so exact copies
 cost one row each. Candidates in a bucket are never paired all with all: each member meets
-the bucket's first and last class, the links make components, and only members of
+the bucket's hub (its class with the most bucket mates), the links make components, and only members of
 different components of a bucket are then compared: pair by pair where these are few, else
 by their rarest shingles (see ``_rare_pairs``), so a large group of near copies costs a few
 comparisons a member while no link between components is lost.
@@ -131,9 +131,12 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def _links(texts: DataFrame, classes: DataFrame, percent: int, shingle: int) -> DataFrame | None:
     """Links that join all classes of a group: first by stars of each bucket, then between their components."""
     band = classes.select("class_id", F.explode("bands").alias("bucket"))
-    groups = band.groupBy("bucket").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low <> high")
+    groups = band.groupBy("bucket").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.count("*").alias("size")).where("low <> high").select("bucket", "size")
     shared = materialize(band.join(groups, "bucket"), "buckets")
-    star = shared.select(F.col("low").alias("a"), F.col("class_id").alias("b")).unionByName(shared.select(F.col("high").alias("a"), F.col("class_id").alias("b")))
+    # A class in many large buckets is like the centre of its group: it is the hub of nearly all buckets it is in.
+    central = shared.groupBy("class_id").agg(F.sum("size").alias("weight"))
+    hub = shared.join(central, "class_id").groupBy("bucket").agg(F.max(F.struct("weight", "class_id"))["class_id"].alias("hub"))
+    star = shared.join(hub, "bucket").select(F.col("hub").alias("a"), F.col("class_id").alias("b"))
     first = _verified(_candidates(star, classes, percent), texts, classes, percent, shingle)
     if first is None:
         return None
