@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import bytetext as B
-from .scratch import map_arrow
+from .scratch import columns, map_arrow
 
 TRAIN_DOCS = 20_000
 #: Distinct languages of one model; more need a finer ``lang`` column.
@@ -101,8 +101,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", tra
     size = 2 * BUCKETS + _SCRIPTS
     seen = np.zeros((len(langs), size))
     if langs:
-        got = map_arrow(rows, lambda it: _count(it, langs), "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-        seen[got.lang.to_numpy(), got.bucket.to_numpy()] = got.n.to_numpy()
+        lang, bucket, n = columns(map_arrow(rows, lambda it: _count(it, langs), "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+        seen[lang, bucket] = n
     score = np.zeros((len(langs), size), np.float32)
     for part, weight in ((slice(0, BUCKETS), 0.5), (slice(BUCKETS, 2 * BUCKETS), 0.5)):
         own = seen[:, part] + 0.3

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytetext as B
@@ -124,12 +125,13 @@ class Network:
 
 def fit(sample: DataFrame) -> Network | None:
     """A network from ``text, y``; none without labels."""
-    got = map_arrow(sample, _encode, "x array<float>, y double").toPandas()
-    if not len(got):
+    got = map_arrow(sample, _encode, "x array<float>, y double").toArrow()
+    if not got.num_rows:
         return None
-    cut = np.concatenate([[0], np.cumsum([len(x) // MEASURES for x in got.x])])
+    x = got["x"].combine_chunks()
+    cut = np.concatenate([[0], np.cumsum(pc.list_value_length(x).to_numpy() // MEASURES)])
     net = Network()
-    net.train(np.concatenate(got.x.to_list()).reshape(-1, MEASURES).astype(float), cut, got.y.to_numpy())
+    net.train(x.flatten().to_numpy().reshape(-1, MEASURES).astype(float), cut, got["y"].to_numpy())
     return net
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -40,6 +41,11 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
+def columns(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a table of bounded size, as arrays of 64-bit integers on the driver; no row becomes an object."""
+    return [np.asarray(c.to_numpy(), np.int64) for c in df.toArrow().columns]
+
+
 def clear(spark: SparkSession) -> None:
     """Delete every table that ``materialize`` has written; results that still read one must be written first."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corpusmill")

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytetext as B
@@ -144,14 +145,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.2,
 
 def fit(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted hashes of the classifier's words, their weights and the bias, from ``text, y``."""
-    got = map_arrow(sample, _encode, "words array<long>, upper double, bangs double, y double").toPandas()
-    n = len(got)
+    got = map_arrow(sample, _encode, "words array<long>, upper double, bangs double, y double").toArrow()
+    n = got.num_rows
     none = (np.zeros(0, np.uint64), np.zeros(0), -6.0)
-    if not n or not got.y.max():
+    y, marks = got["y"].to_numpy(), np.column_stack([got["upper"].to_numpy(), got["bangs"].to_numpy()])
+    if not n or not y.max():
         return none
-    y, marks = got.y.to_numpy(), got[["upper", "bangs"]].to_numpy()
-    row = np.repeat(np.arange(n), [len(x) for x in got.words])
-    h = np.concatenate([np.asarray(x, np.int64) for x in got.words]).view(np.uint64)
+    words = got["words"].combine_chunks()
+    row, h = np.repeat(np.arange(n), pc.list_value_length(words).to_numpy()), words.flatten().to_numpy().view(np.uint64)
     own, place = np.unique(h, return_inverse=True)
     toxic, every = np.bincount(place, weights=y[row], minlength=len(own)), np.bincount(place, minlength=len(own))
     odds = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((every - toxic + 0.5) / (n - y.sum() + 1))
