@@ -8,6 +8,7 @@ score is that share of the words.
 
 The model is learned from at most about ``TRAIN_DOCS`` labelled texts, chosen by a hash of
 the text (a documented bound; words counts are gathered in the tasks and summed by Spark).
+The bound is shared out by language: one with few texts is learned from all of them.
 Nulls and blanks: a null text or one without letters is ``und`` with score 0 and no spans.
 With no labelled text at all every text is ``und``. Rows are independent, so repeated rows,
 null ids and other columns do no harm; an empty table gives an empty result.
@@ -89,6 +90,16 @@ def _count(batches: Iterator[pa.RecordBatch], langs: list[str]) -> Iterator[pa.R
     yield pa.record_batch([pa.array(lang), pa.array(bucket), pa.array(seen[lang, bucket])], names=["lang", "bucket", "n"])
 
 
+def sample_rates(counts: dict[str, int], limit: int) -> dict[str, float]:
+    """The share of each language's texts to learn from: ``limit`` in equal parts, what a small language leaves goes to the larger ones."""
+    out, left = {}, limit
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        part = min(n, left / (len(counts) - i))
+        out[lang] = part / n
+        left -= part
+    return out
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages and log scores (trigram buckets, word buckets, scripts) by language, from texts with a non-null language."""
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
@@ -97,7 +108,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", tra
         raise ValueError(f"more than {MAX_LANGS} languages")
     langs, total = sorted(counts), sum(counts.values())
     if total > train_docs:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * train_docs / total))
+        rate = F.create_map(*(F.lit(x) for pair in sample_rates(counts, train_docs).items() for x in pair))
+        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < 1_000_000 * rate[F.col("lang")])
     size = 2 * BUCKETS + _SCRIPTS
     seen = np.zeros((len(langs), size))
     if langs:

@@ -5,8 +5,8 @@ reference is their sum over its labelled texts; the Jensen-Shannon distance (bas
 1) to the nearest reference decides, each histogram only from a least length on. Some plain
 counts come along, and texts that fail on these fail anyway.
 
-References are learned from at most about ``REFERENCE_DOCS`` texts with a language, chosen
-by a hash of the text (a documented bound); counts and verdicts are over whole texts.
+References are sums over every text with a language (sums by task, then by Spark); counts
+and verdicts are over whole texts.
 A null or wordless text has zero counts and fails. With no labelled text the distances are
 0. Rows are independent: repeated rows, null ids and other columns do no harm, and an empty
 table gives an empty result.
@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytetext as B
-from .scratch import map_arrow
+from .scratch import map_arrow, materialize
+from .suffix_tree import _Counter
 
-REFERENCE_DOCS = 20_000
 COMMON = 50
+#: Words of all languages that a task holds, before it gives their counts on.
+HELD = 3_000_000
 #: Least share of a language's words for a word that is common.
 LEAST_SHARE = 0.001
 #: Least characters and words for a verdict by each histogram, and its largest distance.
@@ -115,46 +117,50 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.clip((against(p) + against(np.broadcast_to(q, p.shape))) / 2, 0, 1)), 0)
 
 
-def _top_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        langs = np.array(batch.column(1).to_pylist(), object)
-        for c in B.chunks(batch.column(0)):
-            words, h = _word_hashes(c)
-            own = langs[c.lo : c.hi][words.row]
-            for lang in set(own):
-                key, n = np.unique(h[own == lang], return_counts=True)
-                yield pa.record_batch([pa.array([lang] * len(key), pa.string()), pa.array(key.view(np.int64)), pa.array(n)], names=["lang", "word", "n"])
-
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By language, the characters of each class (8: all words) and the count of each word, summed over a task; about ``HELD`` words are held before they are given on."""
+    chars: dict[str, np.ndarray] = {}
+    seen: dict[str, _Counter] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        names = ["lang", "is_class", "word", "n"]
+        for lang, n in chars.items():
+            yield pa.record_batch([pa.array([lang] * 9, pa.string()), pa.array([True] * 9), pa.array(range(9), pa.int64()), pa.array(n)], names=names)
+        for lang, counter in seen.items():
+            for part in counter.out():
+                yield pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array([False] * len(part)), part.column(0), part.column(1)], names=names)
+        chars.clear()
+        seen.clear()
 
-def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    none = np.zeros(0, np.uint64)
     for batch in batches:
         langs = np.array(batch.column(1).to_pylist(), object)
         for c in B.chunks(batch.column(0)):
-            chars, words = histograms(c, none)
-            for lang in set(langs[c.lo : c.hi]):
-                own = langs[c.lo : c.hi] == lang
-                n = np.append(chars[own].sum(axis=0), words[own].sum())
-                yield pa.record_batch([pa.array([lang] * 9, pa.string()), pa.array(range(9), pa.int64()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
-
-
-def fit_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", limit: int = REFERENCE_DOCS, common: int = COMMON) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By language: class shares, hashes of its ``common`` most frequent words, and their shares (last: all other words)."""
+            own, code = np.unique(langs[c.lo : c.hi], return_inverse=True)
+            classes = np.bincount(np.repeat(code, np.diff(c.offsets)) * 9 + _CLASS[c.data], minlength=len(own) * 9).reshape(-1, 9)
+            words, h = _word_hashes(c)
+            word_code = code[words.row]
+            classes[:, 8] = np.bincount(word_code, minlength=len(own))
+            for i, lang in enumerate(own):
+                chars[lang] = chars.get(lang, 0) + classes[i]
+                seen.setdefault(lang, _Counter()).add(h[word_code == i])
+            if sum(x.size for x in seen.values()) > HELD:
+                yield from out()
+    yield from out()
+
+
+def fit_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common: int = COMMON) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By language, over all its texts: class shares, hashes of its ``common`` most frequent words, and their shares (last: all other words)."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    n = rows.count()
-    if n > limit:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * limit / n))
-    counts = map_arrow(rows, _class_counts, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()
+    sums = materialize(map_arrow(rows, _sums, "lang string, is_class boolean, word long, n long").groupBy("lang", "is_class", "word").agg(F.sum("n").alias("n")), "references")
     chars: dict[str, np.ndarray] = {}
-    for r in counts:
+    for r in sums.where("is_class").collect():
         chars.setdefault(r.lang, np.zeros(9))[r.word] = r.n
     if not chars:
         return {}
     # A share of LEAST_SHARE bounds what comes to the driver: 1 / LEAST_SHARE words a language.
     least = docs.sparkSession.createDataFrame([(k, float(LEAST_SHARE * v[8])) for k, v in chars.items()], "lang string, least double")
-    tops = map_arrow(rows, _top_words, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     found: dict[str, list[tuple[int, int]]] = {}
-    for r in tops.join(F.broadcast(least), "lang").where("n >= least").collect():
+    for r in sums.where("not is_class").join(F.broadcast(least), "lang").where("n >= least").collect():
         found.setdefault(r.lang, []).append((r.n, r.word))
     out = {}
     for lang in sorted(chars):

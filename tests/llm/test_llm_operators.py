@@ -237,6 +237,26 @@ def test_quality_rules(spark, docs, rows):
     assert quality_rules.quality_rules(empty(spark)).count() == 0
 
 
+def test_references_cover_every_text_and_language(spark):
+    """Above 20000 texts, a language of one text has its reference and shares are over all texts."""
+    many = spark.range(40_000).selectExpr("id doc_id", "concat('ka lo', if(id % 3 = 0, ' mi', ''), '  ', id) text", "'xa' lang")
+    few = spark.createDataFrame([(i, f"rare r{i} word", f"y{i}") for i in range(40)], "doc_id long, text string, lang string")
+    got = quality_rules.fit_references(many.unionByName(few))
+    assert got.keys() == {"xa", *(f"y{i}" for i in range(40))}
+    n = 80_000 + 13_334
+    assert sorted(got["xa"][2]) == pytest.approx([0, 13_334 / n, 40_000 / n, 40_000 / n])
+    assert all(sorted(got[f"y{i}"][2]) == pytest.approx([0, 1 / 3, 1 / 3, 1 / 3]) for i in range(40))
+
+
+def test_language_sample_keeps_small_languages(spark):
+    rows = [(f"ka lo mi {i}", "xa") for i in range(3000)] + [(f"gra pel {'dor' * i}", f"y{i}") for i in range(20)]
+    langs, score = language_id.fit(spark.createDataFrame(rows, "text string, lang string"), train_docs=300)
+    assert langs == sorted({g for _, g in rows})
+    assert all(len(set(s[: language_id.BUCKETS])) > 1 for s in score)
+    rates = language_id.sample_rates({"a": 1_000_000, "b": 30, "c": 500}, 1000)
+    assert rates == pytest.approx({"a": 485e-6, "b": 1, "c": 0.97})
+
+
 def test_js_distance():
     p, q = np.array([[2.0, 2.0, 0.0], [0, 0, 5], [0, 0, 0]]), np.array([0.5, 0.5, 0.0])
     assert quality_rules.js_distance(p, q) == pytest.approx([0, 1, 0])
