@@ -4,7 +4,9 @@ A word is a run of letters. Its script leaves only those languages in which that
 was seen; each remaining language scores it by the naive Bayes odds of its byte trigrams
 and of the word itself. Viterbi over all words of a text, with a penalty for every change
 of language, labels spans; the text's language is the one that covers most words and its
-score is that share of the words.
+score is that share of the words. A text's margin says whether it is in a learned language at
+all: the log score of its labels over that of a model in which every bucket is equally likely,
+by byte of its letters; below 0, letters at random explain it better.
 
 The model is learned from at most about ``TRAIN_DOCS`` labelled texts, chosen by a hash of
 the text (a documented bound; words counts are gathered in the tasks and summed by Spark).
@@ -168,7 +170,7 @@ def viterbi(emit: np.ndarray, cut: np.ndarray, penalty: float) -> np.ndarray:
 def _label(batches: Iterator[pa.RecordBatch], model, penalty: float) -> Iterator[pa.RecordBatch]:
     langs, score = model.value
     for batch in batches:
-        names, shares, spans = [], [], []
+        names, shares, margins, spans = [], [], [], []
         texts = batch.column(1)
         for c in B.chunks(texts, _CHUNK):
             rows = c.hi - c.lo
@@ -176,6 +178,7 @@ def _label(batches: Iterator[pa.RecordBatch], model, penalty: float) -> Iterator
             if not langs or not some.any():
                 names += ["und"] * rows
                 shares += [0.0] * rows
+                margins += [0.0] * rows
                 spans += [[]] * rows
                 continue
             words, emit = word_scores(c, score)
@@ -183,6 +186,9 @@ def _label(batches: Iterator[pa.RecordBatch], model, penalty: float) -> Iterator
             tally = np.bincount(row * len(langs) + path, minlength=rows * len(langs)).reshape(rows, len(langs))
             lead = tally.argmax(axis=1)
             share = tally.max(axis=1) / np.maximum(1, words.counts)
+            size = words.end - words.start
+            gain = emit[np.arange(len(path)), path] + 0.5 * (size + 1) * np.log(BUCKETS)
+            margin = np.bincount(row, weights=gain, minlength=rows) / np.maximum(1, np.bincount(row, weights=size, minlength=rows))
             turn = np.ones(len(path), bool)
             turn[1:] = (path[1:] != path[:-1]) | (row[1:] != row[:-1])
             begin = np.flatnonzero(turn)
@@ -192,16 +198,17 @@ def _label(batches: Iterator[pa.RecordBatch], model, penalty: float) -> Iterator
                 ok = some[r] and words.counts[r] > 0
                 names.append(langs[lead[r]] if ok else "und")
                 shares.append(float(share[r]) if ok else 0.0)
+                margins.append(float(margin[r]) if ok else 0.0)
                 spans.append([{"first_word": int(begin[j] - words.cut[r]), "n_words": int(length[j]), "lang": langs[path[begin[j]]]} for j in range(edge[r], edge[r + 1])] if ok else [])
         kind = pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("lang", pa.string())]))
-        yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, kind)], names=["doc_id", "lang_pred", "score", "spans"])
+        yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(shares, pa.float64()), pa.array(margins, pa.float64()), pa.array(spans, kind)], names=["doc_id", "lang_pred", "score", "margin", "spans"])
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
-    """Every row's ``doc_id, lang_pred, score, spans`` (words counted from 0 among runs of letters)."""
+    """Every row's ``doc_id, lang_pred, score, margin, spans`` (words counted from 0 among runs of letters)."""
     kept = docs.sparkSession.sparkContext.broadcast(model)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(texts, lambda it: _label(it, kept, penalty), "doc_id long, lang_pred string, score double, spans array<struct<first_word:long,n_words:long,lang:string>>")
+    return map_arrow(texts, lambda it: _label(it, kept, penalty), "doc_id long, lang_pred string, score double, margin double, spans array<struct<first_word:long,n_words:long,lang:string>>")
 
 
 def identify_documents(docs: DataFrame, mod: int = 5, rest: int = 0, train_docs: int = TRAIN_DOCS) -> DataFrame:

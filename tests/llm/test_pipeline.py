@@ -1,5 +1,7 @@
 """The pipeline's stages on a small folder of tables."""
 
+import random
+
 import pytest
 
 from test_llm_operators import SCHEMA, corpus  # noqa: F401
@@ -31,3 +33,17 @@ def test_stages(spark, folder):
     packed = {d for r in docs.collect() for d in r.doc_ids}
     assert packed == ids[3]
     assert pipeline.run(spark, folder).count() == docs.count()
+
+
+def test_language_id_drops_noise_with_letters(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(8)
+    kinds = {"xa": ["ka", "lo", "mi", "tu", "ren"], "xb": ["öst", "gra", "üm", "pel", "dor"], "xc": ["shi", "wen", "quo"], "xd": ["éba", "jif", "zev", "yco"]}
+    say = lambda g, n: " ".join("".join(rng.choices(kinds[g], k=2)) for _ in range(n))
+    clean = [(i, say(g, rng.randint(1, 60)), g) for i in range(400) for g in [sorted(kinds)[i % 4]]]
+    noise = [(1000 + i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(4, 9))) for _ in range(30)), None) for i in range(20)]
+    foreign = [(2000 + i, " ".join("".join(rng.choices(["nugh", "psov", "hrab"], k=2)) for _ in range(30)), None) for i in range(20)]
+    mixed = [(3000 + i, " ".join(say(g, 20) for g in sorted(kinds)), None) for i in range(20)]
+    docs = spark.createDataFrame(clean + noise + foreign + mixed, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in pipeline.language_id(spark, docs, "").collect()}
+    assert kept == {r[0] for r in clean}
