@@ -30,9 +30,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that of the smallest id."""
-    gone = materialize(minhash_dedup(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(small(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """One row of each near-duplicate group stays: that of the smallest id (a null one comes last)."""
+    # Ids may repeat or be null, so rows are numbered in the order of their ids and told apart by that number.
+    rows = materialize(docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    gone = materialize(minhash_dedup(rows, "__row").where("not kept").select(F.col("doc_id").alias("gone_row")), "gone")
+    return rows.join(small(gone), F.col("__row") == F.col("gone_row"), "left_anti").drop("__row")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

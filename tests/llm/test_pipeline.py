@@ -47,3 +47,12 @@ def test_language_id_drops_noise_with_letters(spark):
     docs = spark.createDataFrame(clean + noise + foreign + mixed, "doc_id long, text string, lang string")
     kept = {r.doc_id for r in pipeline.language_id(spark, docs, "").collect()}
     assert kept == {r[0] for r in clean}
+
+
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    """Ids that repeat with other texts, equal rows and null ids."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(0, a), (1, a), (1, b), (5, c), (5, c), (None, d), (None, d), (None, a)]
+    got = pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == [("0", a), ("1", b), ("5", c), ("None", d)]
