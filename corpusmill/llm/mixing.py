@@ -5,7 +5,11 @@ that a domain's labelled texts favour; every text gets posteriors ``p[k]`` of th
 Rates ``r >= 0`` then make the expected tokens of each domain, the sum of
 ``r * tokens * p[k]``, match the targets: least squares weighted by the domains' sizes,
 solved by projected gradient. A step needs only one number a domain, so each is one
-aggregation over the posterior table, and a text's rate is a fold over the steps taken.
+aggregation over the posterior table, and a text's rate is a fold over the steps taken, kept
+as a column after every ``STEPS`` of them. Rates have no upper bound (``mix`` only thins: 1).
+Steps end when every target is met within ``TOLERANCE`` of all tokens, when they move nothing
+any more, or after ``MOST_STEPS``; if targets are unmet then (a domain without tokens, domains
+that no text tells apart), ``mixing_rates`` says so in ``targets_met``.
 
 At most about ``LABELLED`` labelled texts are learned from, chosen by a hash of the id (a
 documented bound); posteriors, totals and rates cover every text. Rows whose label is null
@@ -31,7 +35,10 @@ LISTED, LEAST_TEXTS = 32, 5
 DOMAINS = ("clean", "junk", "toxic")
 #: Shares of the mixed corpus.
 TARGETS = {"clean": 0.90, "junk": 0.07, "toxic": 0.03}
-STEPS = 25
+#: Steps that one fold takes, and steps at most.
+STEPS, MOST_STEPS = 25, 400
+#: Shares of all tokens: a target's largest miss, and a step that moves no domain by more moves nothing.
+TOLERANCE, STILL = 1e-4, 1e-8
 
 
 @dataclass
@@ -107,34 +114,39 @@ def with_posteriors(docs: DataFrame, model: Classifier, text_col: str = "text")
 
 
 def _rate(steps: list[list[float]], most: float) -> Column:
-    """The rate after these steps, from 1: each takes the gradient off and projects onto 0 to ``most``."""
+    """The rate after these steps, from ``__rate``: each takes the gradient off and projects onto 0 to ``most``."""
     if not steps:
-        return F.lit(min(1.0, most))
+        return F.col("__rate")
     k = len(steps[0])
     all_steps = F.array(*(F.array(*map(F.lit, g)) for g in steps))
-    return F.aggregate(all_steps, F.lit(min(1.0, most)), lambda r, g: F.least(F.greatest(r - sum((F.col("__p")[i] * g[i] for i in range(k)), F.lit(0.0)), F.lit(0.0)), F.lit(most)))
+    return F.aggregate(all_steps, F.col("__rate"), lambda r, g: F.least(F.greatest(r - sum((F.col("__p")[i] * g[i] for i in range(k)), F.lit(0.0)), F.lit(0.0)), F.lit(most)))
 
 
-def fit_rates(posteriors: DataFrame, targets: dict[str, float], most: float, budget: float | str, domains: tuple[str, ...] = DOMAINS, steps: int = STEPS) -> list[list[float]]:
-    """Steps of projected gradient for ``posteriors(__tokens, __p)``. budget: tokens as a multiple of all, or a domain whose tokens stay as they are."""
+def fit_rates(posteriors: DataFrame, targets: dict[str, float], most: float, budget: float | str, domains: tuple[str, ...] = DOMAINS, steps: int = MOST_STEPS) -> tuple[DataFrame, bool]:
+    """``posteriors(__tokens, __p)`` with ``__rate`` from 0 to ``most`` by projected gradient, and whether every target is met. budget: tokens as a multiple of all, or a domain whose tokens stay as they are."""
     k = len(domains)
-    sums = lambda rate: [float(x or 0) for x in posteriors.agg(*(F.sum(rate * F.col("__tokens") * F.col("__p")[i]) for i in range(k))).first()]
-    mass = sums(F.lit(1.0))
+    start = posteriors.withColumn("__rate", F.lit(min(1.0, most)))
+    sums = lambda df, rate: [float(x or 0) for x in df.agg(*(F.sum(rate * F.col("__tokens") * F.col("__p")[i]) for i in range(k))).first()]
+    mass = sums(start, F.lit(1.0))
     whole = sum(targets.values())
     weight = [targets.get(d, 0.0) / whole for d in domains]
     total = sum(mass) * budget if not isinstance(budget, str) else mass[domains.index(budget)] / max(weight[domains.index(budget)], 1e-9)
     want = [w * total for w in weight]
-    taken: list[list[float]] = []
     if not sum(mass):
-        return taken
-    now = sums(_rate([], most))
+        return start, True
+    met = lambda now: max(abs(a - b) for a, b in zip(now, want, strict=True)) <= TOLERANCE * total
+    taken: list[list[float]] = []
+    now = sums(start, _rate([], most))
     for _ in range(steps):
-        off = [(a - b) / max(m, 1e-9) for a, b, m in zip(now, want, mass, strict=True)]
-        if max(abs(a - b) for a, b in zip(now, want, strict=True)) <= 1e-4 * total:
+        if met(now):
+            break
+        if len(taken) == STEPS:
+            start, taken = materialize(start.withColumn("__rate", _rate(taken, most)), "rates"), []
+        taken.append([(a - b) / max(m, 1e-9) for a, b, m in zip(now, want, mass, strict=True)])
+        before, now = now, sums(start, _rate(taken, most))
+        if max(abs(a - b) for a, b in zip(now, before, strict=True)) <= STILL * total:
             break
-        taken.append(off)
-        now = sums(_rate(taken, most))
-    return taken
+    return start.withColumn("__rate", _rate(taken, most)), met(now)
 
 
 def _draw(id_col: str) -> Column:
@@ -142,13 +154,13 @@ def _draw(id_col: str) -> Column:
     return F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1_000_000)) / 1_000_000.0
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most: float = 4.0, budget: float | str = 1.0) -> DataFrame:
-    """Every row's ``doc_id, n_tokens, p_clean, p_junk, p_toxic, rate, copies``."""
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most: float = math.inf, budget: float | str = 1.0) -> DataFrame:
+    """Every row's ``doc_id, n_tokens, p_clean, p_junk, p_toxic, rate, copies, targets_met``."""
     model = fit_classifier(docs, labels)
     post = materialize(with_posteriors(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")), model).drop("text"), "posteriors")
-    rate = _rate(fit_rates(post, targets or TARGETS, most, budget), most)
-    out = post.withColumn("rate", rate)
-    return out.select("doc_id", F.col("__tokens").alias("n_tokens"), *(F.col("__p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", F.floor(F.col("rate") + _draw("doc_id")).cast("long").alias("copies"))
+    rated, met = fit_rates(post, targets or TARGETS, most, budget)
+    out = rated.withColumnRenamed("__rate", "rate")
+    return out.select("doc_id", F.col("__tokens").alias("n_tokens"), *(F.col("__p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", F.floor(F.col("rate") + _draw("doc_id")).cast("long").alias("copies"), F.lit(met).alias("targets_met"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | str = "clean") -> DataFrame:
@@ -156,8 +168,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     model = fit_classifier(docs, labels)
     text = F.col("text").cast("string")
     post = materialize(with_posteriors(docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key")), model).drop("text"), "posteriors")
-    steps = fit_rates(post, targets or TARGETS, 1.0, budget)
+    rated, _ = fit_rates(post, targets or TARGETS, 1.0, budget)
     # A repeated row shares its id, text and so its fate: rows to drop are named by both.
-    gone = materialize(post.where(_draw("doc_id") >= _rate(steps, 1.0)).select(F.col("doc_id").alias("gone_id"), "text_key").distinct(), "gone")
+    gone = materialize(rated.where(_draw("doc_id") >= F.col("__rate")).select(F.col("doc_id").alias("gone_id"), "text_key").distinct(), "gone")
     same = F.xxhash64(text).eqNullSafe(F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("gone_id"))
     return docs.join(small(gone), same, "left_anti")

@@ -368,3 +368,19 @@ def test_mixing(spark):
     assert sum(i in kept for i in clean) > 0.97 * len(clean) and sum(i in kept for i in range(0, 300, 5)) < 45
     assert mixing.mixing_rates(docs, labels.limit(0)).count() == docs.count()
     assert mixing.mixing_rates(empty(spark), labels).count() == 0 and mixing.mix(empty(spark), labels).count() == 0
+
+
+def test_mixing_rates_reach_far_targets_or_say_so(spark):
+    """A domain of 0.3% of the tokens is raised tenfold; overlapping posteriors get the steps they need; a domain without tokens is told."""
+    post = lambda rows: spark.createDataFrame(rows, "__tokens long, __p array<double>")
+    totals = lambda df: [df.selectExpr(f"sum(__rate * __tokens * __p[{i}]) x").first().x for i in range(3)]
+    far = [(9000, [1.0, 0.0, 0.0]), (970, [0.0, 1.0, 0.0]), (30, [0.0, 0.0, 1.0])]
+    near = [(500, [0.7, 0.2, 0.1]), (300, [0.3, 0.5, 0.2]), (200, [0.3, 0.2, 0.5])]
+    for rows, want, share in ((far, [9000, 700, 300], {"clean": 0.9, "junk": 0.07, "toxic": 0.03}), (near, [450, 330, 220], {"clean": 0.45, "junk": 0.33, "toxic": 0.22})):
+        rated, met = mixing.fit_rates(post(rows), share, math.inf, 1.0)
+        assert met and totals(rated) == pytest.approx(want, abs=1e-4 * sum(want))
+    rated, met = mixing.fit_rates(post([(9000, [1.0, 0.0, 0.0]), (1000, [0.0, 1.0, 0.0])]), mixing.TARGETS, math.inf, 1.0)
+    assert not met
+    docs, labels = labelled(spark)
+    got = mixing.mixing_rates(docs, labels, {"clean": 0.1, "junk": 0.85, "toxic": 0.05}).selectExpr("max(rate) rate", "every(targets_met) met").first()
+    assert got.rate > 4 and got.met
