@@ -16,10 +16,15 @@ BROADCAST_ROWS = 1_000_000
 BATCH_BYTES = 4 << 20
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """The session's ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary folder and a cluster an error: its executors share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -28,8 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back; a lost executor costs nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusmill/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/corpusmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,10 +52,18 @@ def columns(df: DataFrame) -> list[np.ndarray]:
     return [np.asarray(c.to_numpy(), np.int64) for c in df.toArrow().columns]
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete every table that ``materialize`` has written; results that still read one must be written first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corpusmill")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def mark() -> int:
+    """The number of tables written so far, for ``clear``."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables written since ``mark``, but for the last ``keep`` of them; results that still read one must be written first."""
+    gone = _made[since : len(_made) - keep]
+    del _made[since : since + len(gone)]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
