@@ -1,8 +1,8 @@
 """Language identification: script ranges, per-word scores and Viterbi with a switching penalty.
 
-A word is a run of letters. Its script leaves only those languages in which that script
-was seen; each remaining language scores it by the naive Bayes odds of its byte trigrams
-and of the word itself. Viterbi over all words of a text, with a penalty for every change
+A word is a run of letters (and marks on them). Its script leaves only those languages in
+which that script was seen; each remaining language, and no other, scores it by the naive
+Bayes odds of its byte trigrams and of the word itself. Viterbi over all words of a text, with a penalty for every change
 of language, labels spans; the text's language is the one that covers most words and its
 score is that share of the words. A text's margin says whether it is in a learned language at
 all: the log score of its labels over that of a model in which every bucket is equally likely,
@@ -18,8 +18,9 @@ null ids and other columns do no harm; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,27 @@ _RANGES = [(0x00, 0), (0x41, 1), (0x5B, 0), (0x61, 1), (0x7B, 0), (0xC0, 1), (0x
 _SCRIPTS = 14
 _START, _SCRIPT = np.array([r[0] for r in _RANGES]), np.array([r[1] for r in _RANGES])
 _LETTER = np.array([b >= 0x80 or 97 <= b <= 122 for b in range(256)])
-_ANY_LETTER = re.compile(r"[^\W\d_]")
+#: Log score of a word in a language whose texts don't have its script.
+_EXCLUDED = -1e4
+
+
+@cache
+def _letters() -> np.ndarray:
+    """A flag for every character of the first planes: a letter or a mark."""
+    return np.array([unicodedata.category(chr(i))[0] in "LM" for i in range(0x40000)])
+
+
+def _letter_bytes(data: np.ndarray) -> np.ndarray:
+    """Flags of the bytes that belong to letters; ``data`` is lower-cased."""
+    flags = _LETTER[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        point = _codepoint(data, lead)
+        other = lead[~_letters()[np.minimum(point, 0x3FFFF)]]
+        size = 2 + (data[other] >= 0xE0).astype(np.int64) + (data[other] >= 0xF0)
+        for i in range(4):
+            flags[np.minimum(other[size > i] + i, len(data) - 1)] = False
+    return flags
 
 
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:
@@ -58,7 +79,7 @@ def _codepoint(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _features(chunk: B.Chunk) -> tuple[B.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words, each word's script and bucket, each letter's trigram bucket, each word's first letter among them."""
     data = B.LOWER[chunk.data]
-    letter = _LETTER[data]
+    letter = _letter_bytes(data)
     words = B.runs(letter, chunk.offsets)
     script = _SCRIPT[np.searchsorted(_START, _codepoint(data, words.start), "right") - 1]
     whole = ((B.span_hash(data, words.start, words.end) >> np.uint64(48)).astype(np.int64)) + BUCKETS
@@ -78,7 +99,7 @@ def _features(chunk: B.Chunk) -> tuple[B.Words, np.ndarray, np.ndarray, np.ndarr
 def _count(batches: Iterator[pa.RecordBatch], langs: list[str]) -> Iterator[pa.RecordBatch]:
     place = {x: i for i, x in enumerate(langs)}
     size = 2 * BUCKETS + _SCRIPTS
-    seen = np.zeros((len(langs), size), np.int64)
+    seen: dict[int, np.ndarray] = {}
     for batch in batches:
         own = np.array([place[x] for x in batch.column(1).to_pylist()], np.int64)
         for c in B.chunks(batch.column(0), _CHUNK):
@@ -86,10 +107,13 @@ def _count(batches: Iterator[pa.RecordBatch], langs: list[str]) -> Iterator[pa.R
             if not len(first):
                 continue
             lang = own[c.lo : c.hi][words.row]
-            for at, who in ((key, np.repeat(lang, words.end - words.start)), (whole, lang), (script + 2 * BUCKETS, lang)):
-                seen += np.bincount(who * size + at, minlength=seen.size).reshape(seen.shape)
-    lang, bucket = np.nonzero(seen)
-    yield pa.record_batch([pa.array(lang), pa.array(bucket), pa.array(seen[lang, bucket])], names=["lang", "bucket", "n"])
+            by_letter = np.repeat(lang, words.end - words.start)
+            for i in np.unique(lang).tolist():
+                at = np.concatenate([key[by_letter == i], whole[lang == i], script[lang == i] + 2 * BUCKETS])
+                seen[i] = seen.get(i, 0) + np.bincount(at, minlength=size)
+    for i, n in seen.items():
+        bucket = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(np.full(len(bucket), i)), pa.array(bucket), pa.array(n[bucket])], names=["lang", "bucket", "n"])
 
 
 def sample_rates(counts: dict[str, int], limit: int) -> dict[str, float]:
@@ -124,17 +148,22 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", tra
     scripts = seen[:, 2 * BUCKETS :]
     allowed = scripts >= 0.002 * scripts.sum(axis=1, keepdims=True)
     allowed[:, ~allowed.any(axis=0)] = True
-    score[:, 2 * BUCKETS :] = np.where(allowed, 0, -1e4)
+    score[:, 2 * BUCKETS :] = np.where(allowed, 0, _EXCLUDED)
     return langs, score
 
 
 def word_scores(chunk: B.Chunk, score: np.ndarray) -> tuple[B.Words, np.ndarray]:
-    """Words of a chunk and the log score of each in every language."""
+    """Words of a chunk and the log score of each in every language; only the languages of a word's script look at it."""
     words, script, whole, key, first = _features(chunk)
-    out = np.empty((len(first), len(score)), np.float32)
-    if len(first):
-        for i, table in enumerate(score):
-            out[:, i] = np.add.reduceat(table[key], first) + table[whole] + table[script + 2 * BUCKETS]
+    out = np.full((len(first), len(score)), _EXCLUDED, np.float32)
+    size = words.end - words.start
+    for i, table in enumerate(score):
+        able = table[script + 2 * BUCKETS] == 0
+        if able.all() and len(first):
+            out[:, i] = np.add.reduceat(table[key], first) + table[whole]
+        elif able.any():
+            begin = np.concatenate([[0], np.cumsum(size[able])[:-1]]).astype(np.int64)
+            out[able, i] = np.add.reduceat(table[key[np.repeat(able, size)]], begin) + table[whole[able]]
     return words, out
 
 
@@ -174,7 +203,7 @@ def _label(batches: Iterator[pa.RecordBatch], model, penalty: float) -> Iterator
         texts = batch.column(1)
         for c in B.chunks(texts, _CHUNK):
             rows = c.hi - c.lo
-            some = np.array([bool(x and _ANY_LETTER.search(x)) for x in texts.slice(c.lo, rows).to_pylist()], bool)
+            some = np.array([any(map(str.isalpha, x or "")) for x in texts.slice(c.lo, rows).to_pylist()], bool)
             if not langs or not some.any():
                 names += ["und"] * rows
                 shares += [0.0] * rows
