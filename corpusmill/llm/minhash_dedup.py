@@ -2,8 +2,9 @@
 
 One permutation ``sigma`` of the 32-bit universe shuffles the shingles once; a second one,
 ``pi``, shifted by k, gives coordinate k of the signature: min over shingles of
-``pi(sigma(x) - k)``. 24 bands of 5 coordinates find a pair of similarity 0.85 with odds
-above 1 - 1e-6. Every link is confirmed on the full shingle sets.
+``pi(sigma(x) - k)``. Bands are as many as find a pair at the threshold with odds above
+1 - 1e-6 (``banding``; at 0.85 these are 24 of 5 coordinates). Every link is confirmed on
+the full shingle sets.
 
 Texts with equal shingle sets are one *class* before anything is compared, so exact copies
 cost one row each. Candidates in a bucket are never paired all with all: each member meets
@@ -21,6 +22,7 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -32,14 +34,32 @@ from . import bytetext as B
 from .components import components
 from .scratch import map_arrow, materialize, small
 
-BANDS, ROWS = 24, 5
-#: Of 120 two-bit codes, a pair at the threshold 0.85 agrees on 106 in the mean (deviation 3.5); under 82 it isn't compared.
-CODES_AGREE = 82
+#: Odds that bands miss a pair at the threshold; coordinates of a signature, if so few do; deviations below the mean for the least agreement of codes.
+MISS, COORDINATES, DEVIATIONS = 1e-6, 128, 7.0
 #: A bucket with at most so many pairs a member across components is compared pair by pair.
 LIGHT = 4
 _FEATURES = "doc_id long, n_shingles long, class_id binary, bands array<long>, c0 long, c1 long, c2 long, c3 long"
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands, and the coordinates of each, that miss a pair of this similarity with odds of ``MISS`` at most: the longest bands that ``COORDINATES`` allow."""
+    t = percent / 100
+    for rows in (5, 4, 3, 2):
+        bands = math.ceil(math.log(MISS) / math.log(1 - t**rows)) if t < 1 else 1
+        if bands * rows <= COORDINATES:
+            return bands, rows
+    return math.ceil(math.log(MISS) / math.log(1 - t)), 1
+
+
+def least_agreement(percent: int, codes: int) -> int:
+    """Of so many two-bit codes, those that a pair at the threshold agrees on at least: 7 deviations below the mean, for odds of about 1e-11.
+
+    A code agrees with its coordinate, or by chance (1 in 4) without it.
+    """
+    q = percent / 100 + (1 - percent / 100) / 4
+    return max(0, math.floor(codes * q - DEVIATIONS * math.sqrt(codes * q * (1 - q))))
+
+
 def _mix32(x: np.ndarray, tmp: np.ndarray) -> np.ndarray:
     """pi: a bijection of 32-bit integers, in place."""
     for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B), (16, None)):
@@ -108,13 +128,16 @@ def _class_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
             yield pa.record_batch([pa.array(map(_class, sets), pa.binary()), pa.ListArray.from_arrays(offsets, flat)], names=["class_id", "shingles"])
 
 
-def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, shingle: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, shingle: int = 5, bands: int | None = None, rows: int | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row: links of texts with ``100 * |A & B| >= percent * |A | B|``."""
+    if bands is None or rows is None:
+        bands, rows = banding(percent)
+    codes = min(128, bands * rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     features = materialize(map_arrow(texts, partial(_features, k=shingle, bands=bands, rows=rows), _FEATURES), "features")
     known = features.where("class_id is not null and doc_id is not null")
     classes = materialize(known.groupBy("class_id").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), *(F.first(f"c{i}").alias(f"c{i}") for i in range(4))), "classes")
-    found = _links(texts, classes, percent, shingle)
+    found = _links(texts, classes, percent, shingle, codes)
     if found is None:
         least = classes.select("class_id", F.col("first_id").alias("component_id"))
     else:
@@ -128,7 +151,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", "n_shingles", part.alias("component_id"), F.coalesce(F.col("doc_id") == part, F.lit(True)).alias("kept"))
 
 
-def _links(texts: DataFrame, classes: DataFrame, percent: int, shingle: int) -> DataFrame | None:
+def _links(texts: DataFrame, classes: DataFrame, percent: int, shingle: int, codes: int) -> DataFrame | None:
     """Links that join all classes of a group: first by stars of each bucket, then between their components."""
     band = classes.select("class_id", F.explode("bands").alias("bucket"))
     groups = band.groupBy("bucket").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.count("*").alias("size")).where("low <> high").select("bucket", "size")
@@ -137,7 +160,7 @@ def _links(texts: DataFrame, classes: DataFrame, percent: int, shingle: int) ->
     central = shared.groupBy("class_id").agg(F.sum("size").alias("weight"))
     hub = shared.join(central, "class_id").groupBy("bucket").agg(F.max(F.struct("weight", "class_id"))["class_id"].alias("hub"))
     star = shared.join(hub, "bucket").select(F.col("hub").alias("a"), F.col("class_id").alias("b"))
-    first = _verified(_candidates(star, classes, percent), texts, classes, percent, shingle)
+    first = _verified(_candidates(star, classes, percent, codes), texts, classes, percent, shingle)
     if first is None:
         return None
     parts = components(first)
@@ -151,7 +174,7 @@ def _links(texts: DataFrame, classes: DataFrame, percent: int, shingle: int) ->
     x, y = mixed.where("not heavy and part <> main").alias("x"), mixed.where("not heavy").alias("y")
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("y.main")) | (F.col("x.class_id") < F.col("y.class_id")))).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"))
     pairs = pairs.unionByName(_rare_pairs(mixed.where("heavy").select("class_id", "part").distinct(), texts, classes, percent, shingle))
-    more = _verified(_candidates(pairs, classes, percent), texts, classes, percent, shingle)
+    more = _verified(_candidates(pairs, classes, percent, codes), texts, classes, percent, shingle)
     return first if more is None else first.unionByName(more)
 
 
@@ -163,9 +186,7 @@ def _rare_pairs(members: DataFrame, texts: DataFrame, classes: DataFrame, percen
     differ, so the join is on such a shingle. Nothing is lost and nothing is capped.
     """
     members = materialize(members, "heavy")
-    ids = materialize(classes.join(members, "class_id", "left_semi").select(F.col("first_id").alias("doc_id")).distinct(), "ids")
-    sets = map_arrow(texts.join(small(ids), "doc_id", "left_semi").select("text"), partial(_class_sets, k=shingle), "class_id binary, shingles array<long>")
-    own = materialize(sets.dropDuplicates(["class_id"]), "sets")
+    own = _sets_of(members.select("class_id").distinct(), texts, classes, shingle)
     each = own.select("class_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     ranked = each.join(each.groupBy("s").agg(F.count("*").alias("df")), "s").withColumn("place", F.row_number().over(Window.partitionBy("class_id").orderBy("df", "s")))
     rare = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).join(members, "class_id").select("s", "class_id", "part", "n", "place")
@@ -177,14 +198,14 @@ def _rare_pairs(members: DataFrame, texts: DataFrame, classes: DataFrame, percen
     return x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.class_id") < F.col("y.class_id")) & (F.col("x.part") != F.col("y.part")) & fits).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"))
 
 
-def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _candidates(pairs: DataFrame, classes: DataFrame, percent: int, codes: int) -> DataFrame:
     """Distinct pairs whose set sizes and signature codes leave the threshold possible, as ``a, b, na, nb`` with a < b."""
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda s: classes.select(F.col("class_id").alias(s), F.col("n").alias(f"n{s}"), *(F.col(f"c{i}").alias(f"{s}{i}") for i in range(4)))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     differ = [F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}")) for i in range(4)]
     odd = sum((F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555))) for d in differ[1:]), F.bit_count(differ[0].bitwiseOR(F.shiftrightunsigned(differ[0], 1)).bitwiseAND(F.lit(0x5555555555555555))))
-    return both.where(F.lit(BANDS * ROWS) - odd >= CODES_AGREE).select("a", "b", "na", "nb")
+    return both.where(F.lit(codes) - odd >= least_agreement(percent, codes)).select("a", "b", "na", "nb")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent: int, shingle: int) -> DataFrame | None:
@@ -193,8 +214,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent: i
     if pairs.isEmpty():
         return None
     ends = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))).distinct()
-    ids = materialize(classes.join(ends, "class_id", "left_semi").select(F.col("first_id").alias("doc_id")).distinct(), "ids")
-    sets = materialize(map_arrow(texts.join(small(ids), "doc_id", "left_semi").select("text"), partial(_class_sets, k=shingle), "class_id binary, shingles array<long>"), "sets")
+    sets = _sets_of(materialize(ends, "ends"), texts, classes, shingle)
     joined = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return materialize(joined.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b"), "verified")
+
+
+def _sets_of(wanted: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """``class_id, shingles``, once each, of the classes ``wanted``: ids may repeat, so rows of an id may have other classes or the same again."""
+    ids = materialize(classes.join(wanted, "class_id", "left_semi").select(F.col("first_id").alias("doc_id")).distinct(), "ids")
+    sets = map_arrow(texts.join(small(ids), "doc_id", "left_semi").select("text"), partial(_class_sets, k=shingle), "class_id binary, shingles array<long>")
+    return materialize(sets.join(small(wanted.select("class_id")), "class_id", "left_semi").groupBy("class_id").agg(F.first("shingles").alias("shingles")), "sets")

@@ -8,9 +8,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from corpusmill.llm import chat_format, decontaminate, language_id, minhash_dedup, mixing, packing, passage_quality, quality_rules, suffix_tree, toxicity
+from corpusmill.llm import bytetext, chat_format, decontaminate, language_id, minhash_dedup, mixing, packing, passage_quality, quality_rules, suffix_tree, toxicity
 from corpusmill.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, class_id string, n long"
@@ -53,7 +54,7 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def brute_groups(rows):
+def brute_groups(rows, percent=85):
     sets = {}
     for r in rows:
         w = words((r[1] or "").translate(LOWER))
@@ -65,7 +66,7 @@ def brute_groups(rows):
         changed = False
         for a in sets:
             for b in sets:
-                if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and least[a] != least[b]:
+                if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and least[a] != least[b]:
                     least[a] = least[b] = min(least[a], least[b])
                     changed = True
     return {i: (len(s), least[i]) for i, s in sets.items()}
@@ -83,6 +84,29 @@ def test_minhash_dedup(spark, docs, rows):
     assert minhash_dedup.minhash_dedup(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [50, 85, 95])
+def test_minhash_thresholds_and_repeated_rows(spark, percent):
+    """Pairs about the threshold in many groups, each row three times; bands and code filter follow the threshold."""
+    rng = random.Random(percent)
+    rows = []
+    for i in range(60):
+        base = [f"g{i}w{j}" for j in range(60)]
+        for k in range(4):
+            own = list(base)
+            for j in rng.sample(range(60), rng.randint(0, 4)):
+                own[j] = f"x{i}{k}{j}"
+            rows += [(10 * i + k, " ".join(own), None, None, 0, "", 0)] * 3
+    got = minhash_dedup.minhash_dedup(spark.createDataFrame(rows, SCHEMA), percent=percent).collect()
+    assert len(got) == len(rows) and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(rows, percent)
+
+
+def test_banding_misses_few():
+    for percent in (30, 50, 80, 85, 95, 99):
+        bands, n = minhash_dedup.banding(percent)
+        assert (1 - (percent / 100) ** n) ** bands <= 1e-6
+    assert minhash_dedup.banding(85) == (24, 5)
+
+
 def test_minhash_chain_in_one_large_bucket(spark, monkeypatch):
     """A chain of edits whose ends are unlike, compared by rare shingles as well."""
     monkeypatch.setattr(minhash_dedup, "LIGHT", 0)
@@ -132,6 +156,16 @@ def test_decontaminate(spark, docs, rows):
     assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontaminate_any_item_id(spark, docs):
+    """String ids, a common word shared by many items, and blocks of keys."""
+    items = [(f"q-{i}", f"ka lo mi w{i} tu ren ka lo mi tu x{i} ka") for i in range(12)] + [("z", "tu")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    target = spark.createDataFrame([(1, "so " + items[3][1] + " and " + items[10][1]), (2, "tu tu"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contamination(target, bench).collect()}
+    assert got[1].items_sha256 == hashlib.sha256(b"q-10,q-3,z").hexdigest() and got[1].n_hit == 24
+    assert (got[2].n_hit, got[2].n_items, got[3].n_words) == (2, 1, 0)
+
+
 def brute_viterbi(emit, penalty):
     best, back = emit[0].astype(float), []
     for e in emit[1:]:
@@ -175,6 +209,25 @@ def test_language_id(spark, docs, rows):
     assert {r.lang_pred for r in language_id.identify(docs, ([], np.zeros((0, 1)))).collect()} == {"und"}
 
 
+def test_language_id_letters(spark):
+    """Numbers, marks and pictures without a letter are ``und``; a letter of any script is not."""
+    model = (["xa", "xb"], language_id.fit(spark.createDataFrame([("ka lo", "xa"), ("öst", "xb")], "text string, lang string"))[1])
+    texts = ["½ ² ①", "— … 😀", "٣٤", "́", "a", "½ é", "ਕ", "ꓐ"]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert [got[i] == "und" for i in range(8)] == [True] * 4 + [False] * 4
+    chunk = next(bytetext.chunks(pa.array(["ka—lo 😀 öst½"])))
+    found = language_id.word_scores(chunk, model[1])[0]
+    assert [bytes(chunk.data[a:b]).decode() for a, b in zip(found.start, found.end)] == ["ka", "lo", "öst"]
+
+
+def test_languages_of_another_script_are_left_out(spark):
+    model = language_id.fit(spark.createDataFrame([("ka lo mi", "xa"), ("где это", "xc")], "text string, lang string"))
+    _, emit = language_id.word_scores(next(bytetext.chunks(pa.array(["ka где lo"]))), model[1])
+    assert (emit[:, 0] == language_id._EXCLUDED).tolist() == [False, True, False] and (emit[:, 1] == language_id._EXCLUDED).tolist() == [True, False, True]
+    one = language_id.word_scores(next(bytetext.chunks(pa.array(["где"]))), model[1])[1]
+    assert emit[1, 1] == one[0, 1]
+
+
 def test_suffix_tree(spark, docs, rows):
     got = suffix_tree.score_documents(docs, head=20).collect()
     assert len(got) == len(rows)
@@ -212,13 +265,46 @@ def test_chat_format(spark):
     assert chat_format.format_conversations(turns.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("said", ["s", "/s>", " ", "", "<s>", "[/INST]", "a\\", "</s>", " </s>", "\ue000", "INST", "\n"])
+@pytest.mark.parametrize("role", ["user", "assistant", "system"])
+def test_chat_spans_stand_on_the_text(said, role):
+    """By position: a text equal to a part of its own marks isn't sought in them."""
+    messages = [("user", said), (role, said), ("assistant", said)]
+    out, spans, rewrites = chat_format.turn_spans(messages, chat_format.inst_template)
+    assert not rewrites and spans[0][0] == 0 and spans[-1][1] == len(out)
+    for (who, text), (start, end, a, b) in zip(messages, spans, strict=True):
+        before = "[INST] " if who == "user" else "<s> " if who == "assistant" else f"[ROLE {who}] "
+        assert a == start + len(before) and out[start:a] == before and out[a:b] == chat_format.escape(text)
+        assert out[b:end] == (" [/INST]" if who == "user" else " </s>" if who == "assistant" else " [/ROLE]")
+
+
 def test_chat_format_detects_rewritten_history():
     def drops_old_thoughts(messages):
         return "".join(f"<{r}>{t if i == len(messages) - 1 else t.replace('(thought)', '')}" for i, (r, t) in enumerate(messages))
 
-    out, spans, rewrites = chat_format.turn_spans([("u", "a"), ("v", "(thought)b"), ("u", "c")], drops_old_thoughts, str)
-    assert rewrites and out[spans[2][2] : spans[2][3]] == "c"
-    assert not chat_format.turn_spans([("u", "a"), ("v", "b")], drops_old_thoughts, str)[2]
+    out, spans, rewrites = chat_format.turn_spans([("u", "a"), ("v", "(thought)b"), ("u", "c")], drops_old_thoughts)
+    assert rewrites and [out[a:b] for _, _, a, b in spans] == ["a", "b", "c"]
+    assert not chat_format.turn_spans([("u", "a"), ("v", "b")], drops_old_thoughts)[2]
+    # The number of turns leads the output, and each text hangs on its own length: no span.
+    counted = lambda messages: f"{len(messages)}:" + "".join(f"{len(t)}{t}" for _, t in messages)
+    out, spans, rewrites = chat_format.turn_spans([("u", "abc"), ("v", "d")], counted)
+    assert rewrites and spans[0] == (None,) * 4 and out[spans[1][2] : spans[1][3]] == "d"
+
+
+def test_rows_without_conversation_stand_alone(spark):
+    rows = [(None, 1, "user", "hi"), (None, 1, "user", "hi"), (None, 2, "assistant", "yo"), (4, 1, "user", "hi")]
+    got = chat_format.digests(chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert sorted((str(r.conv_id), r.n_turns) for r in got) == [("4", 1), ("None", 1), ("None", 1), ("None", 1)]
+
+
+def test_span_hash_tells_structured_words_apart():
+    """Words of two letters by the parity of set bits, and their complements, cancel in polynomials modulo 2**64."""
+    words = [bytes(97 + (bin(i).count("1") + f) % 2 for i in range(n)) for n in (1024, 2048, 4096) for f in (0, 1)] + [b"ab", b"abc", b"ab"]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    spans = bytetext.runs(bytetext.NOT_SPACE[data], np.array([0, len(data)]))
+    h = bytetext.span_hash(data, spans.start, spans.end).tolist()
+    assert len(set(h)) == len(set(words)) and h[-1] == h[-3]
+    assert bytetext.span_hash(data, spans.start, spans.start + 2).tolist()[-2:] == [h[-1]] * 2
 
 
 def test_quality_rules(spark, docs, rows):
