@@ -242,10 +242,89 @@ def test_suffix_tree(spark, docs, rows):
 
 
 def test_suffix_tree_states_are_distributions(spark, docs):
-    texts = docs.selectExpr("coalesce(text, '') text")
+    texts = docs.selectExpr("coalesce(text, '') text", "false held_out")
     tree, *_ = suffix_tree.fit(texts, suffix_tree.count_words(texts))
     assert np.allclose((10.0 ** tree.one.astype(float)).sum(axis=1), 1, atol=1e-3)
     assert (10.0**tree.root).sum() == pytest.approx(1)
+    assert len(tree.states)
+    for s in tree.states.tolist():
+        every = np.array([s >> 11, s & 2047, 0]).repeat(tree.alphabet.size).reshape(3, -1).T.copy()
+        every[:, 2] = np.arange(tree.alphabet.size)
+        cut = np.arange(len(every) + 1) * 3
+        assert (10.0 ** suffix_tree._symbol_scores(tree, every.ravel(), cut)[2::3]).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_deep_states_are_distributions():
+    """Whatever the contexts, probabilities of all words add up to 1."""
+    rng = np.random.default_rng(2)
+    n, v = 400, 12
+    key, one, two = rng.integers(0, 3, n), rng.integers(0, 3, n), rng.integers(0, 2, n)
+    before, after = one << 32 | two, np.where(rng.random(n) < 0.7, (4 * key + 2 * one + two) % v, rng.integers(0, v, n))
+    share = rng.dirichlet(np.ones(v))
+    grid = [(k, b << 32 | c, w) for k in range(3) for b in range(4) for c in range(3) for w in range(v)]
+    asked = np.array(grid)
+    k, b, w = (np.concatenate(x).astype(np.int64) for x in zip((key, before, after), asked.T, strict=True))
+    seen, left = suffix_tree.deep_states(k, b, w, share[w], np.arange(len(k)) < n)
+    p = (seen + left * share[w])[n:].reshape(-1, v)
+    assert np.allclose(p.sum(axis=1), 1) and len(np.unique(np.round(p, 6), axis=0)) > 4
+
+
+def brute_score(tree, top, least, total, vocabulary, tokens, held):
+    """Every text's score by dictionaries, the bounded part of the tree given."""
+    denominator = total + vocabulary + 1
+    count = Counter(w for t, h in zip(tokens, held, strict=True) for w in t if not h)
+    spots, out = [], []
+    for t, h in zip(tokens, held, strict=True):
+        column = pa.array([" ".join(x for x in t if x is not None)])
+        hashes, suffix, cut = suffix_tree._tokens(next(bytetext.chunks(column)))
+        s = suffix_tree._symbols(tree.alphabet, hashes, suffix)
+        shift = suffix_tree._symbol_scores(tree, s, cut) - tree.root[s]
+        base = [math.log10((count[w] + 1) / denominator) for w in t]
+        out.append(sum(base) + shift.sum())
+        known = [int(x) in top for x in hashes]
+        for i, w in enumerate(t):
+            if not known[i]:
+                back = (t[i - 1] if i > 0 else "", t[i - 2] if i > 1 else "")
+                guess = shift[i + 1] + (base[i + 1] if known[i + 1] else math.log10(least / denominator))
+                spots.append([len(out) - 1, not h, [(w,), (w, back[0]), (w, *back)], t[i + 1], 10 ** min(guess, 0), 10 ** (shift[i + 1] + base[i + 1])])
+    seen, left = [0.0] * len(spots), [1.0] * len(spots)
+    for depth in range(3):
+        by = {}
+        for i, x in enumerate(spots):
+            by.setdefault(x[2][depth], []).append(i)
+        for members in by.values():
+            nexts = Counter(spots[i][3] for i in members if spots[i][1])
+            c = sum(nexts.values())
+            if c < suffix_tree.LEAST:
+                continue
+            rest = 0.5 * len(nexts) / c
+            parent = {}
+            for i in sorted(members, key=lambda i: spots[i][2][2]):
+                parent.setdefault(spots[i][3], seen[i] + left[i] * spots[i][4])
+            if sum(n * math.log(((n - 0.5) / c + rest * parent[w]) / parent[w]) + math.log(parent[w]) for w, n in nexts.items()) > 0:
+                for i in members:
+                    n = nexts.get(spots[i][3], 0)
+                    seen[i], left[i] = max(n - 0.5, 0) / c + rest * seen[i], rest * left[i]
+    for x, a, b in zip(spots, seen, left, strict=True):
+        out[x[0]] += math.log10(a + b * x[5]) - math.log10(x[5])
+    return out
+
+
+def test_suffix_tree_scores_against_brute_force(spark):
+    """Texts that share long runs, with words above and below the head."""
+    rng = random.Random(4)
+    pool = [" ".join(f"r{rng.randrange(200)}" if rng.random() < 0.4 else rng.choice("the of and a".split()) for _ in range(40)) for _ in range(30)]
+    rows = [(i, rng.choice(pool) + " " + rng.choice(pool)) for i in range(80)] + [(100, None), (101, "r1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_tree.score_documents(docs, head=30).collect()}
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    texts = spark.createDataFrame([(t or "", h) for (_, t), h in zip(rows, held, strict=True)], "text string, held_out boolean")
+    counts = suffix_tree.count_words(texts)
+    tree, top, _, least, total, denominator = suffix_tree.fit(texts.where("not held_out"), counts, 30)
+    want = brute_score(tree, set(top.tolist()), least, total, denominator - total - 1, [words(t) + [None] for _, t in rows], held)
+    for (i, _), w in zip(rows, want, strict=True):
+        assert got[i].score == pytest.approx(w, abs=0.02), i
+    assert sum(r.gain for r in got.values() if not r.held_out) > 0.3 * 70
 
 
 def test_chat_format(spark):
