@@ -3,9 +3,11 @@
 Voters are the entries of an induced lexicon, words and beginnings of words (each votes
 toxic where it occurs), and patterns (several listed entries, their density, none at all,
 shouting, runs of marks). A generative label model, fitted by EM on the votes of a sample,
-estimates each voter's accuracy and the class balance; voters that agree more than the
-classes explain are taken as correlated and share one vote. Its posteriors are the labels
-of a linear classifier over words and beginnings of words, which scores every text.
+estimates each voter's accuracy, the class balance and the correlations of voters, all from
+its own posteriors: voters that agree more than the classes explain vote as one. Gold
+labels induce the lexicon and start the first round; no round after it sees them. The
+posteriors are the labels of a linear classifier over words and beginnings of words, which
+scores every text.
 
 At most ``LABELLED`` labelled texts induce the lexicon and give the votes (a documented
 bound, chosen by a hash of the id). A null or empty text has no words and gets the score of
@@ -32,7 +34,7 @@ LABELLED = 8_000
 LISTED, LEAST_TEXTS, FEATURES = 80, 4, 600
 #: Bytes of a word's beginning that is a key of its own, so that one stem with many endings is seen.
 BEGINNINGS = (4, 5, 6)
-#: Conditional correlation from which two voters share a vote.
+#: Conditional correlation from which two voters vote as one.
 CORRELATED = 0.35
 _LETTERS = np.array([b >= 0x80 or 97 <= b <= 122 for b in range(256)])
 
@@ -94,31 +96,35 @@ def votes(row: np.ndarray, h: np.ndarray, marks: np.ndarray, lexicon: np.ndarray
     return out
 
 
-def label_model(v: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posteriors of the votes' rows, each voter's accuracy (chance that a cast vote is right), each voter's share of a vote.
+def label_model(v: np.ndarray, start: np.ndarray, rounds: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posteriors of the votes' rows, each voter's accuracy (chance that a cast vote is right) and its block of correlated voters.
 
-    Accuracies start at the labels' rates and are re-estimated with the posteriors; the
-    labels stay as evidence worth one voter more.
+    A block says toxic, clean or nothing (the sign of its members' votes) with odds of its own
+    in either class; EM fits these and the class balance from the posteriors ``start``. A
+    voter's own vote would explain its correlations away once posteriors follow it, so each
+    round estimates them with the mean of all posteriors so far. Rounds are few: on small
+    samples with one rare class, likelihood goes on rising as that class fades away.
     """
-    n, m = v.shape
-    accuracy, prior = np.full(m, 0.7), float(np.clip(y.mean() if n else 0.1, 0.01, 0.5))
-    post = y.astype(float)
-    # Before the posteriors follow the votes: a vote given three times would hide its own correlation.
-    share = _vote_shares(v, post)
-    for _ in range(rounds):
-        cast, right = (v != 0).sum(axis=0), ((v == 1) * post[:, None] + (v == -1) * (1 - post[:, None])).sum(axis=0)
-        accuracy = np.clip((right + 2) / (cast + 3), 0.05, 0.995)
-        prior = float(np.clip(post.mean() if n else prior, 0.005, 0.5))
-        weight = share * np.log(accuracy / (1 - accuracy))
-        z = np.log(prior / (1 - prior)) + v @ weight + np.where(y > 0.5, 3.0, -3.0)
+    post = mean = start.astype(float)
+    block = np.arange(v.shape[1])
+    for r in range(rounds):
+        block = _blocks(v, mean)
+        said = np.sign(v.astype(int) @ (block[:, None] == np.unique(block)))
+        each = [(said == x).astype(float) for x in (-1, 0, 1)]
+        # One case more in either class, spread as in all rows, so that an outcome never seen tells nothing.
+        odds = [np.log(x.T @ post + (every := x.mean(axis=0) + 1e-9)) - np.log(x.T @ (1 - post) + every) - np.log((post.sum() + 1) / ((1 - post).sum() + 1)) for x in each]
+        prior = float(np.clip(post.mean() if len(v) else 0.1, 0.005, 0.5))
+        z = np.log(prior / (1 - prior)) + sum(x @ o for x, o in zip(each, odds, strict=True))
         post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    return post, accuracy, share
+        mean = mean + (post - mean) / (r + 2)
+    accuracy = ((v == 1).T @ post + (v == -1).T @ (1 - post) + 1) / ((v != 0).sum(axis=0) + 2)
+    return post, accuracy, block
 
 
-def _vote_shares(v: np.ndarray, post: np.ndarray) -> np.ndarray:
-    """1 over the number of voters that correlate with one, given the class."""
+def _blocks(v: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """Each voter's block, named by its first: voters linked by correlation given the class."""
     given = v.astype(float)
-    corr = np.zeros((v.shape[1],) * 2)
+    linked = np.eye(v.shape[1], dtype=bool)
     for w in (post, 1 - post):
         total = w.sum()
         if total < 20:
@@ -126,9 +132,10 @@ def _vote_shares(v: np.ndarray, post: np.ndarray) -> np.ndarray:
         x = given - (w @ given) / total
         cov = (x * w[:, None]).T @ x / total
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        corr = np.maximum(corr, np.where(np.outer(sd, sd) > 1e-4, np.abs(cov) / np.outer(sd, sd), 0))
-    np.fill_diagonal(corr, 1)
-    return 1 / (corr > CORRELATED).sum(axis=1)
+        linked |= (np.outer(sd, sd) > 1e-4) & (np.abs(cov) > CORRELATED * np.outer(sd, sd))
+    for _ in range(len(linked).bit_length()):
+        linked = (linked.astype(int) @ linked.astype(int)) > 0
+    return linked.argmax(axis=1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.2, decay: float = 2e-4) -> tuple[np.ndarray, float]:
