@@ -1,12 +1,14 @@
 """Quality rules by divergence from language references.
 
 Every text gives two histograms, of character classes and of common words. A language's
-reference is their sum over its labelled texts; the Jensen-Shannon distance (base 2, 0 to
-1) to the nearest reference decides, each histogram only from a least length on. Some plain
+reference is their sum over its typical texts; the Jensen-Shannon distance (base 2, 0 to 1)
+to the nearest reference decides, each histogram only from a least length on. Some plain
 counts come along, and texts that fail on these fail anyway.
 
-References are sums over every text with a language (sums by task, then by Spark); counts
-and verdicts are over whole texts.
+Every text with a language counts for a first sum of its characters, and the distances of
+all of them to it are counted too: the nearer ``TYPICAL`` share of a language's texts then
+makes its reference, so that junk which is labelled with a language doesn't pull it. All
+sums are taken by task, then by Spark; counts and verdicts are over whole texts.
 A null or wordless text has zero counts and fails. With no labelled text the distances are
 0. Rows are independent: repeated rows, null ids and other columns do no harm, and an empty
 table gives an empty result.
@@ -31,7 +33,9 @@ HELD = 3_000_000
 LEAST_SHARE = 0.001
 #: Least characters and words for a verdict by each histogram, and its largest distance.
 LEAST_CHARS, LEAST_WORDS = 200, 60
-MOST_CHARS, MOST_WORDS = 0.30, 0.62
+MOST_CHARS, MOST_WORDS = 0.195, 0.62
+#: Share of a language's texts, those nearest to the sum of all, that make its reference; steps of distance in which they are told apart.
+TYPICAL, STEPS = 0.75, 1000
 _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, js_chars double, js_words double"
 _SYMBOL = np.array([chr(b) in "#*$%&|<>" for b in range(256)])
@@ -94,9 +98,7 @@ def _word_hashes(c: B.Chunk) -> tuple[B.Words, np.ndarray]:
 
 def histograms(c: B.Chunk, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """By row: characters of each class, and letter words equal to each of the sorted hashes ``common`` (last: none)."""
-    rows = c.hi - c.lo
-    at_byte = np.repeat(np.arange(rows), np.diff(c.offsets))
-    chars = np.bincount(at_byte * 9 + _CLASS[c.data], minlength=rows * 9).reshape(rows, 9)[:, :_CLASSES]
+    rows, chars = c.hi - c.lo, _class_counts(c)[:, :_CLASSES]
     words, h = _word_hashes(c)
     place = np.full(len(h), len(common))
     if len(common):
@@ -117,8 +119,50 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.clip((against(p) + against(np.broadcast_to(q, p.shape))) / 2, 0, 1)), 0)
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By language, the characters of each class (8: all words) and the count of each word, summed over a task; about ``HELD`` words are held before they are given on."""
+def _class_counts(c: B.Chunk) -> np.ndarray:
+    """By row, characters of each class (8: other bytes of characters)."""
+    rows = c.hi - c.lo
+    return np.bincount(np.repeat(np.arange(rows), np.diff(c.offsets)) * 9 + _CLASS[c.data], minlength=rows * 9).reshape(rows, 9)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[B.Chunk, np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunks of texts with the languages in them, each row's among these, and the rows' class counts."""
+    for batch in batches:
+        langs = np.array(batch.column(1).to_pylist(), object)
+        for c in B.chunks(batch.column(0)):
+            own, code = np.unique(langs[c.lo : c.hi], return_inverse=True)
+            yield c, own, code, _class_counts(c)[:, :_CLASSES]
+
+
+def _char_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By language, the characters of each class."""
+    chars: dict[str, np.ndarray] = {}
+    for _, own, code, counts in _parts(batches):
+        for i, lang in enumerate(own):
+            chars[lang] = chars.get(lang, 0) + counts[code == i].sum(axis=0)
+    for lang, n in chars.items():
+        yield pa.record_batch([pa.array([lang] * _CLASSES, pa.string()), pa.array(range(_CLASSES), pa.int64()), pa.array(n)], names=["lang", "at", "n"])
+
+
+def _steps(counts: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Distances to a language's first sum, in steps; -1 for a text without characters."""
+    return np.where(counts.sum(axis=1) > 0, (js_distance(counts, share) * STEPS).astype(np.int64), -1)
+
+
+def _spread(batches: Iterator[pa.RecordBatch], first) -> Iterator[pa.RecordBatch]:
+    """By language, how many texts are at each step of distance."""
+    seen: dict[str, np.ndarray] = {}
+    for _, own, code, counts in _parts(batches):
+        for i, lang in enumerate(own):
+            step = _steps(counts[code == i], first[lang])
+            seen[lang] = seen.get(lang, 0) + np.bincount(step[step >= 0], minlength=STEPS + 1)
+    for lang, n in seen.items():
+        at = np.flatnonzero(n)
+        yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], names=["lang", "at", "n"])
+
+
+def _sums(batches: Iterator[pa.RecordBatch], first: dict, most: dict) -> Iterator[pa.RecordBatch]:
+    """By language, over its typical texts, the characters of each class (8: all words) and the count of each word, summed over a task; about ``HELD`` words are held before they are given on."""
     chars: dict[str, np.ndarray] = {}
     seen: dict[str, _Counter] = {}
 
@@ -132,31 +176,36 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chars.clear()
         seen.clear()
 
-    for batch in batches:
-        langs = np.array(batch.column(1).to_pylist(), object)
-        for c in B.chunks(batch.column(0)):
-            own, code = np.unique(langs[c.lo : c.hi], return_inverse=True)
-            classes = np.bincount(np.repeat(code, np.diff(c.offsets)) * 9 + _CLASS[c.data], minlength=len(own) * 9).reshape(-1, 9)
-            words, h = _word_hashes(c)
-            word_code = code[words.row]
-            classes[:, 8] = np.bincount(word_code, minlength=len(own))
-            for i, lang in enumerate(own):
-                chars[lang] = chars.get(lang, 0) + classes[i]
-                seen.setdefault(lang, _Counter()).add(h[word_code == i])
-            if sum(x.size for x in seen.values()) > HELD:
-                yield from out()
+    for c, own, code, counts in _parts(batches):
+        words, h = _word_hashes(c)
+        for i, lang in enumerate(own):
+            typical = (code == i) & (_steps(counts, first[lang]) <= most.get(lang, -1))
+            mine = h[typical[words.row]]
+            chars[lang] = chars.get(lang, 0) + np.append(counts[typical].sum(axis=0), len(mine))
+            seen.setdefault(lang, _Counter()).add(mine)
+        if sum(x.size for x in seen.values()) > HELD:
+            yield from out()
     yield from out()
 
 
 def fit_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common: int = COMMON) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By language, over all its texts: class shares, hashes of its ``common`` most frequent words, and their shares (last: all other words)."""
+    """By language, over its typical texts: class shares, hashes of its ``common`` most frequent words, and their shares (last: all other words)."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sums = materialize(map_arrow(rows, _sums, "lang string, is_class boolean, word long, n long").groupBy("lang", "is_class", "word").agg(F.sum("n").alias("n")), "references")
+    added = lambda f: map_arrow(rows, f, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()
+    first: dict[str, np.ndarray] = {}
+    for r in added(_char_sums):
+        first.setdefault(r.lang, np.zeros(_CLASSES))[r.at] = r.n
+    if not first:
+        return {}
+    first = {k: v / max(v.sum(), 1) for k, v in first.items()}
+    spread: dict[str, np.ndarray] = {}
+    for r in added(lambda it: _spread(it, first)):
+        spread.setdefault(r.lang, np.zeros(STEPS + 1))[r.at] = r.n
+    most = {k: int(np.searchsorted(np.cumsum(v), TYPICAL * v.sum())) for k, v in spread.items()}
+    sums = materialize(map_arrow(rows, lambda it: _sums(it, first, most), "lang string, is_class boolean, word long, n long").groupBy("lang", "is_class", "word").agg(F.sum("n").alias("n")), "references")
     chars: dict[str, np.ndarray] = {}
     for r in sums.where("is_class").collect():
         chars.setdefault(r.lang, np.zeros(9))[r.word] = r.n
-    if not chars:
-        return {}
     # A share of LEAST_SHARE bounds what comes to the driver: 1 / LEAST_SHARE words a language.
     least = docs.sparkSession.createDataFrame([(k, float(LEAST_SHARE * v[8])) for k, v in chars.items()], "lang string, least double")
     found: dict[str, list[tuple[int, int]]] = {}
