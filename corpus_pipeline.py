@@ -2,7 +2,13 @@
 
 ``STAGES`` lists ``(name, function)``; a function takes ``(spark, docs, sf_dir)`` and returns
 a DataFrame, which ``run`` writes as Parquet in the shared folder and rereads for the next
-stage. All but the last return the columns of ``documents``.
+stage. All but the last return the columns of ``documents``, with any others that came along.
+
+Every stage decides by the text and, where it must, the id of a row, so rows of a repeated or
+null id are judged one by one: equal rows share their fate in all stages but near_duplicates,
+which keeps one of them. A null or empty text has no language and goes in the first stage;
+later stages take it as having no words. An empty table stays empty. Columns named like the
+operators' own do no harm.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from corpusmill.llm.language_id import fit, held_out, identify
 from corpusmill.llm.minhash_dedup import minhash_dedup
 from corpusmill.llm.mixing import mix
 from corpusmill.llm.packing import pack
-from corpusmill.llm.scratch import materialize, small
+from corpusmill.llm.scratch import clear, mark, materialize, small
 
 #: A text whose leading language covers less than this share of its words has no language; nor
 #: has one of a lesser margin. On held-out clean texts of sf0.1 the least share was 0.60 and the
@@ -23,14 +29,17 @@ LEAST_SHARE, LEAST_MARGIN = 0.5, 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, in no learned language, or with no language on half of their words, go."""
-    seen = identify(docs, fit(docs.where(~held_out(F.col("doc_id"), 5, 0)))).select("doc_id", ((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SHARE) | (F.col("margin") < LEAST_MARGIN)).alias("bad"))
-    bad = materialize(seen.groupBy("doc_id").agg(F.min("bad").alias("bad")).where("bad").select(F.col("doc_id").alias("bad_id")), "bad")
-    return docs.join(small(bad), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    """Rows whose text has no letters, is in no learned language, or has no language on half of its words, go; with no labelled text at all nothing is learned and all go."""
+    # A prediction hangs on the text alone, so texts to drop are named by their hash.
+    key = F.xxhash64(F.col("text").cast("string"))
+    seen = identify(docs.select(key.alias("doc_id"), "text"), fit(docs.where(~held_out(F.col("doc_id"), 5, 0))))
+    bad = seen.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SHARE) | (F.col("margin") < LEAST_MARGIN))
+    gone = materialize(bad.select(F.col("doc_id").alias("__gone")).distinct(), "bad")
+    return docs.join(small(gone), key == F.col("__gone"), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group stays: that of the smallest id (a null one comes last)."""
+    """One row of each near-duplicate group stays: that of the smallest id (a null one comes last). Texts without words are no duplicates."""
     # Ids may repeat or be null, so rows are numbered in the order of their ids and told apart by that number.
     rows = materialize(docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).withColumn("__row", F.monotonically_increasing_id()), "rows")
     gone = materialize(minhash_dedup(rows, "__row").where("not kept").select(F.col("doc_id").alias("gone_row")), "gone")
@@ -38,17 +47,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark window go."""
+    """Rows whose text has a benchmark window go; a text without words stays."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Junk and toxic text is thinned to its target share beside the clean text, which stays."""
+    """Junk and toxic text is thinned to its target share beside the clean text, which stays; with no labels every domain is as likely."""
     return mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in rows of equal width."""
+    """Token ids in rows of equal width; a text without words is its end token."""
     return pack(docs)
 
 
@@ -59,8 +68,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; a stage's intermediate tables are deleted once its output is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        since = mark()
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        clear(spark, since, keep=1)
     return docs
