@@ -56,3 +56,32 @@ def test_near_duplicates_keep_one_row_of_each_group(spark):
     rows = [(0, a), (1, a), (1, b), (5, c), (5, c), (None, d), (None, d), (None, a)]
     got = pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
     assert sorted((str(r.doc_id), r.text) for r in got) == [("0", a), ("1", b), ("5", c), ("None", d)]
+
+
+def test_stages_take_any_rows(spark, folder):
+    """Null and repeated ids with other texts, equal rows, an extra column named like an operator's own, an empty table."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    texts = [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 60").orderBy("doc_id").collect()]
+    leak = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    rows = [(i, t, "xa" if i % 3 else "xb", "s", len(t), i) for i, t in enumerate(texts) if i != 11]
+    odd = [(None, None), (None, "1234 !!"), (None, texts[20]), (7, "..."), (7, texts[21] + " ka"), (20, texts[20]), (20, texts[20]), (None, leak), (5, leak)]
+    docs = spark.createDataFrame(rows + [(i, t, None, None, None, 1) for i, t in odd], "doc_id long, text string, lang string, source string, n_chars long, class_id long")
+    for name, stage in pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), folder)
+        assert empty.count() == 0
+        before = sorted((str(r.doc_id), r.text or "") for r in docs.collect())
+        out = pipeline.materialize(stage(spark, docs, folder))
+        if name == "packing":
+            break
+        assert out.columns == docs.columns == empty.columns
+        after = sorted((str(r.doc_id), r.text or "") for r in out.collect())
+        gone = list(before)
+        for r in after:
+            gone.remove(r)
+        if name == "language_id":
+            assert {("None", ""), ("None", "1234 !!"), ("7", "...")} <= set(gone) and ("7", texts[7]) in after
+        elif name == "near_duplicates":
+            assert [r for r in after if r[1] == texts[20]] == [("20", texts[20])] and [r for r in after if r[1] == leak] == [("5", leak)]
+        elif name == "decontamination":
+            assert ("5", leak) in gone and ("5", texts[5]) in after
+        docs = out
