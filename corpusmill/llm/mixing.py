@@ -4,12 +4,14 @@ A labelled table teaches a naive Bayes classifier over binned text measures and
 that a domain's labelled texts favour; every text gets posteriors ``p[k]`` of the domains.
 Rates ``r >= 0`` then make the expected tokens of each domain, the sum of
 ``r * tokens * p[k]``, match the targets: least squares weighted by the domains' sizes,
-solved by projected gradient. A step needs only one number a domain, so each is one
-aggregation over the posterior table, and a text's rate is a fold over the steps taken, kept
-as a column after every ``STEPS`` of them. Rates have no upper bound (``mix`` only thins: 1).
-Steps end when every target is met within ``TOLERANCE`` of all tokens, when they move nothing
-any more, or after ``MOST_STEPS``; if targets are unmet then (a domain without tokens, domains
-that no text tells apart), ``mixing_rates`` says so in ``targets_met``.
+solved by projected gradient. The gradient is scaled by the inverse of the domains' overlap
+(the sums of ``tokens * p[i] * p[k]`` over texts that aren't out), so a few steps do; one
+that doesn't bring the targets nearer is halved. A step needs only these sums, so each is one
+aggregation over the posterior table, and a text's rate is a fold over the steps taken. Rates
+have no upper bound (``mix`` only thins: 1). Steps end when every target is met within
+``TOLERANCE`` of all tokens, when none brings them ``STILL`` nearer, or after ``STEPS``; if
+targets are unmet then (a domain without tokens, domains that no text tells apart, more
+tokens wanted than there are), ``mixing_rates`` says so in ``targets_met``.
 
 At most about ``LABELLED`` labelled texts are learned from, chosen by a hash of the id (a
 documented bound); posteriors, totals and rates cover every text. Rows whose label is null
@@ -24,6 +26,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .decontaminate import words
@@ -35,10 +38,10 @@ LISTED, LEAST_TEXTS = 32, 5
 DOMAINS = ("clean", "junk", "toxic")
 #: Shares of the mixed corpus.
 TARGETS = {"clean": 0.90, "junk": 0.07, "toxic": 0.03}
-#: Steps that one fold takes, and steps at most.
-STEPS, MOST_STEPS = 25, 400
-#: Shares of all tokens: a target's largest miss, and a step that moves no domain by more moves nothing.
-TOLERANCE, STILL = 1e-4, 1e-8
+#: Steps at most.
+STEPS = 40
+#: A target's largest miss, as a share of all tokens; the least share of the squared misses that a step must take off.
+TOLERANCE, STILL = 1e-4, 0.02
 
 
 @dataclass
@@ -122,30 +125,40 @@ def _rate(steps: list[list[float]], most: float) -> Column:
     return F.aggregate(all_steps, F.col("__rate"), lambda r, g: F.least(F.greatest(r - sum((F.col("__p")[i] * g[i] for i in range(k)), F.lit(0.0)), F.lit(0.0)), F.lit(most)))
 
 
-def fit_rates(posteriors: DataFrame, targets: dict[str, float], most: float, budget: float | str, domains: tuple[str, ...] = DOMAINS, steps: int = MOST_STEPS) -> tuple[DataFrame, bool]:
+def fit_rates(posteriors: DataFrame, targets: dict[str, float], most: float, budget: float | str, domains: tuple[str, ...] = DOMAINS, steps: int = STEPS) -> tuple[DataFrame, bool]:
     """``posteriors(__tokens, __p)`` with ``__rate`` from 0 to ``most`` by projected gradient, and whether every target is met. budget: tokens as a multiple of all, or a domain whose tokens stay as they are."""
     k = len(domains)
     start = posteriors.withColumn("__rate", F.lit(min(1.0, most)))
-    sums = lambda df, rate: [float(x or 0) for x in df.agg(*(F.sum(rate * F.col("__tokens") * F.col("__p")[i]) for i in range(k))).first()]
-    mass = sums(start, F.lit(1.0))
-    whole = sum(targets.values())
-    weight = [targets.get(d, 0.0) / whole for d in domains]
-    total = sum(mass) * budget if not isinstance(budget, str) else mass[domains.index(budget)] / max(weight[domains.index(budget)], 1e-9)
-    want = [w * total for w in weight]
-    if not sum(mass):
-        return start, True
-    met = lambda now: max(abs(a - b) for a, b in zip(now, want, strict=True)) <= TOLERANCE * total
+    p = [F.col("__p")[i] for i in range(k)]
+
+    def sums(taken: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        rated = start.withColumn("__r", _rate(taken, most))
+        overlap = [F.sum(F.when(F.col("__r") > 0, F.col("__tokens") * p[i] * p[j])) for i in range(k) for j in range(k)]
+        got = np.array([float(x or 0) for x in rated.agg(*(F.sum(F.col("__r") * F.col("__tokens") * x) for x in p), *overlap).first()])
+        return got[:k], got[k:].reshape(k, k)
+
     taken: list[list[float]] = []
-    now = sums(start, _rate([], most))
+    now, overlap = sums(taken)
+    mass = now / min(1.0, most)
+    if not mass.sum():
+        return start, True
+    weight = np.array([targets.get(d, 0.0) for d in domains]) / sum(targets.values())
+    at = domains.index(budget) if isinstance(budget, str) else None
+    total = mass.sum() * budget if at is None else mass[at] / max(weight[at], 1e-9)
+    want = weight * total
+    miss = lambda x: float(((x - want) ** 2 / np.maximum(mass, 1)).sum())
+    met = lambda x: bool(np.abs(x - want).max() <= TOLERANCE * total)
+    scale = 1.0
     for _ in range(steps):
-        if met(now):
-            break
-        if len(taken) == STEPS:
-            start, taken = materialize(start.withColumn("__rate", _rate(taken, most)), "rates"), []
-        taken.append([(a - b) / max(m, 1e-9) for a, b, m in zip(now, want, mass, strict=True)])
-        before, now = now, sums(start, _rate(taken, most))
-        if max(abs(a - b) for a, b in zip(now, before, strict=True)) <= STILL * total:
+        if met(now) or scale < 1 / 8:
             break
+        step = scale * np.linalg.lstsq(overlap + 1e-9 * mass.sum() * np.eye(k), now - want, rcond=None)[0]
+        then, overlap_then = sums([*taken, step.tolist()])
+        if miss(then) > (1 - STILL) * miss(now):
+            scale /= 2
+            continue
+        taken.append(step.tolist())
+        now, overlap = then, overlap_then
     return start.withColumn("__rate", _rate(taken, most)), met(now)
 
 
