@@ -15,46 +15,56 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Elements whose content is dropped, and those that begin a line.
+#: Elements whose content is dropped, those of them without an end tag, and those that begin a line.
 _SKIPPED = {"script", "style", "noscript", "head", "meta", "link", "iframe", "svg"}
 _VOID = {"meta", "link"}
-_BLOCKS = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "section", "article", "header", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote"}
+_BLOCKS = {"p", "div", "section", "article", "main", "header", "footer", "aside", "nav", "blockquote", "pre", "li", "dt", "dd", "td", "th", "caption", "h1", "h2", "h3", "h4", "h5", "h6", "tr"}
 
 
 class _Text(HTMLParser):
+    """Stripped text nodes; one that opens a block has a line break before it. What follows a dropped element or a comment up to the next tag is dropped with it."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.depth, self.parts = 0, []
+        self.depth, self.prefix, self.dropped, self.parts = 0, "", False, []
 
     def handle_starttag(self, tag, attrs):
-        if tag in _SKIPPED:
-            self.depth += tag not in _VOID
-        elif tag in _BLOCKS:
-            self.parts.append("\n")
+        self.prefix, self.dropped = "\n" if tag in _BLOCKS else "", tag in _VOID
+        self.depth += tag in _SKIPPED - _VOID
 
     def handle_endtag(self, tag):
-        if tag in _SKIPPED - _VOID:
-            self.depth = max(0, self.depth - 1)
+        closes = tag in _SKIPPED - _VOID and self.depth > 0
+        self.depth -= closes
+        self.prefix, self.dropped = "", closes
+
+    def handle_comment(self, data):
+        self.prefix, self.dropped = "", True
 
     def handle_data(self, data):
-        if not self.depth and data.strip():
-            self.parts.append(" ".join(data.split()))
+        if not self.depth and not self.dropped and data.strip():
+            self.parts.append(self.prefix + data.strip())
+        self.prefix = ""
 
 
 def html_text(raw: str) -> str:
+    """One line for each text node, a blank line before one that opens a block."""
     reader = _Text()
     reader.feed(raw)
-    lines = [x.strip() for x in " ".join(reader.parts).split("\n")]
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(x for x in lines if x)).strip()
+    reader.close()
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(reader.parts)).strip()
 
 
 def csv_text(raw: str) -> str:
-    """``header: value, ...`` for each row; blanks dropped, extra cells named ``col<i>``; one row alone stays raw."""
-    rows = list(csv.reader(io.StringIO(raw), strict=True))
+    """``header: value, ...`` for each row; cells stripped, blank ones dropped, extra cells named ``col<i>``; with no such row the text stays raw."""
+    if not raw.strip():
+        return ""
+    csv.field_size_limit(max(1024 * 1024, len(raw)))
+    rows = list(csv.reader(raw.splitlines()))
     if len(rows) < 2:
         return raw
     head = rows[0]
-    return "\n".join(", ".join(f"{head[i] if i < len(head) and head[i] else f'col{i}'}: {v}" for i, v in enumerate(r) if v.strip()) for r in rows[1:] if any(v.strip() for v in r))
+    lines = (", ".join(f"{head[i] if i < len(head) else f'col{i}'}: {v.strip()}" for i, v in enumerate(r) if v.strip()) for r in rows[1:])
+    return "\n".join(x for x in lines if x) or raw
 
 
 def json_text(raw: str) -> str:

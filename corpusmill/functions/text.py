@@ -13,10 +13,14 @@ PII = [
     ("[PII_IP]", r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b"),
     ("[PII_NI]", r"(?i)\b[A-CEGHJ-PR-TW-Z]{1}[A-CEGHJ-NPR-TW-Z]{1}\d{6}[A-D]\b"),
 ]
-#: Secret patterns for summaries, in order, with replacements.
+#: Names of secrets, characters of a value, and the patterns of summaries in order, with replacements.
+_SECRET_KEY = r"api[_-]?key|(?:access[_-]?|auth[_-]?)?token|password|secret"
+_SECRET_CHAR = r"[^\s,;}\]\"')]"
 SECRETS = [
     (r"(?i)Bearer\s+\S+", "Bearer [REDACTED]"),
-    (r"(?i)((?:api_key|apikey|password|passwd|secret|token|access_key)\s*[=:]\s*[\"']?)[^\s\"',}]+", "$1[REDACTED]"),
+    (r"(?i)-----BEGIN\s+(?:RSA\s+|EC\s+|DSA\s+|OPENSSH\s+)?PRIVATE\s+KEY-----[\s\S]*?-----END\s+(?:RSA\s+|EC\s+|DSA\s+|OPENSSH\s+)?PRIVATE\s+KEY-----", "[PRIVATE KEY REDACTED]"),
+    (rf'(?i)("(?:{_SECRET_KEY})"\s*:\s*"?){_SECRET_CHAR}+', "$1[REDACTED]"),
+    (rf"(?i)((?:^|\b|[_-])(?:{_SECRET_KEY})\s*[=:]\s*[\"']?){_SECRET_CHAR}+", "$1[REDACTED]"),
     (r"\bsk-(?:ant-)?[a-zA-Z0-9_-]{5,}\b", "[API KEY REDACTED]"),
 ]
 
@@ -76,3 +80,35 @@ def token_estimate(text: Column) -> Column:
 def principals(values: Column) -> Column:
     """Trimmed, lower-cased, blank ones dropped, each once, in order."""
     return F.array_distinct(F.filter(F.transform(values, lambda x: F.lower(F.trim(x))), lambda x: x != ""))
+
+
+#: Keys that no audit payload shows, words of a credential, aliases of predicates.
+_FORBIDDEN = ["answer_prompt", "chunk_text", "extracted_text", "full_prompt", "messages", "password", "prompt", "raw_prompt", "raw_secret", "secret", "text", "token"]
+_CREDENTIAL = ["secret", "password", "token", "credential"]
+_PREDICATES = {"depends": "depends_on", "dependency": "depends_on", "reference": "references", "routes": "routes_to", "assigned": "assigned_to", "conflicts": "conflicts_with"}
+
+
+def clip_payload(payload: Column, limit: int = 240) -> Column:
+    """A string map with forbidden keys redacted and long values clipped."""
+    short = lambda v: F.when(F.length(v) > limit, F.concat(F.substring(v, 1, limit - 3), F.lit("..."))).otherwise(v)
+    return F.transform_values(payload, lambda k, v: F.when(F.lower(k).isin(_FORBIDDEN), F.lit("[REDACTED]")).otherwise(short(v)))
+
+
+def safe_filename(name: Column) -> Column:
+    return F.regexp_replace(name, r'[/\\:*?"<>|]', "_")
+
+
+def credential(value: Column) -> Column:
+    """Names a credential and looks like one: an address, an assignment or a long string."""
+    v = F.lower(value)
+    named = F.lit(False)
+    for word in _CREDENTIAL:
+        named = named | v.contains(word)
+    return named & (v.contains("://") | v.contains("=") | (F.length(value) > 80))
+
+
+def predicate(name: Column) -> Column:
+    """Lower case with underscores, aliases resolved."""
+    normal = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    known = F.create_map(*(F.lit(x) for pair in _PREDICATES.items() for x in pair))
+    return F.substring(F.coalesce(known[normal], F.when(normal != "", normal), F.lit("related_to")), 1, 128)

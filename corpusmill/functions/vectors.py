@@ -19,6 +19,12 @@ def cosine_distance(a: Column, b: Column, norm_a: Column | None = None, norm_b:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.round(1 - F.least(F.greatest(dot(a, b) / n, F.lit(-1.0)), F.lit(1.0)), 6))
 
 
+def similarity(a: Column, b: Column) -> Column:
+    """Cosine similarity; a zero vector is like nothing (0)."""
+    one = lambda n: F.coalesce(F.nullif(n, F.lit(0.0)), F.lit(1.0))
+    return dot(a, b) / (one(norm(a)) * one(norm(b)))
+
+
 def blend(a: Column, b: Column, weight: float) -> Column:
     """``(1 - weight) * a + weight * b``, of length 1; weight 0 or 1 passes one side through."""
     if weight in (0, 1):

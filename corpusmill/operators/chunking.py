@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-_SENTENCE_END = re.compile(r"(?<=[.!?。！？])(?=\s|[一-鿿]|$)")
+#: Where a sentence ends, what a heading is, what a token is.
+_SENTENCE_END = re.compile(r"(?<=[.!?。！？])(?=\s|[一-鿿぀-ヿ]|$)")
 _HEADING = re.compile(r"^#{1,6} .+$", re.M)
 _TOKEN = re.compile(r"[A-Za-z0-9_]+|[^\s]")
 
@@ -69,38 +70,48 @@ def sentence_chunks(text: str, size: int = 500, overlap: int = 50) -> list[tuple
 
 
 def heading_chunks(text: str, size: int = 500, overlap: int = 50) -> list[tuple[str, int, int]]:
-    cuts = [0] + [m.start() for m in _HEADING.finditer(text)] + [len(text)]
+    """Sections as heading, blank line and stripped body; longer ones in windows. Offsets count the sections alone."""
+    heads = [(m.start(), m.end()) for m in _HEADING.finditer(text)]
+    stops = [a for a, _ in heads] + [len(text)]
+    sections = [text[: stops[0]].strip()]
+    sections += [f"{text[a:b]}\n\n{text[b:stop].strip()}".strip() for (a, b), stop in zip(heads, stops[1:])]
     out, at = [], 0
-    for a, b in zip(cuts, cuts[1:]):
-        part = text[a:b].strip()
-        if part:
-            out += [(t, at + x, at + y) for t, x, y in _windows(part, size, overlap)]
-            at += len(part)
+    for section in sections if heads else [text.strip()]:
+        out += [(t, at + a, at + b) for t, a, b in _windows(section, size, overlap)]
+        at += len(section)
     return out
 
 
+#: Levels of cuts: a heading begins a part, blank lines and sentence ends close one.
+_CUTS = [(_HEADING, re.Match.start), (re.compile(r"\n{2,}"), re.Match.end), (re.compile(r"[.!?。！？](?=\s|[一-鿿぀-ヿ]|\Z)"), re.Match.end)]
+
+
 def recursive_chunks(text: str, size: int = 500, overlap: int = 50) -> list[tuple[str, int, int]]:
-    """The widest boundaries whose parts fit, with exact offsets: headings, blank lines, sentence ends, windows."""
+    """Stripped parts that fit, cut at the first level that cuts, each cut going one level down; else windows. Offsets are exact."""
     out: list[tuple[str, int, int]] = []
 
-    def cut(a: int, b: int, level: int) -> None:
+    def keep(a: int, b: int) -> None:
         part = text[a:b]
-        if not part.strip():
-            return
+        if part.strip():
+            a += len(part) - len(part.lstrip())
+            out.append((part.strip(), a, a + len(part.strip())))
+
+    todo = [(0, len(text), 0)]
+    while todo:
+        a, b, level = todo.pop()
         if b - a <= size:
-            out.append((part, a, b))
-        elif level == 3:
-            out.extend((t, a + x, a + y) for t, x, y in _windows(part, size, overlap))
+            keep(a, b)
+            continue
+        for deeper in range(level, len(_CUTS)):
+            pattern, side = _CUTS[deeper]
+            edges = sorted({a, b, *(a + side(m) for m in pattern.finditer(text[a:b]))})
+            parts = [(x, y, deeper + 1) for x, y in zip(edges, edges[1:]) if text[x:y].strip()]
+            if len(parts) > 1:
+                todo += reversed(parts)
+                break
         else:
-            ends = [m.start() for m in (_HEADING, re.compile(r"\n{2,}"), _SENTENCE_END)[level].finditer(part)]
-            edges = sorted({0, *ends, b - a})
-            if len(edges) == 2:
-                cut(a, b, level + 1)
-            else:
-                for x, y in zip(edges, edges[1:]):
-                    cut(a + x, a + y, level if y - x < b - a else level + 1)
-
-    cut(0, len(text), 0)
+            for _, x, y in _windows(text[a:b], size, overlap):
+                keep(a + x, a + y)
     return out
 
 

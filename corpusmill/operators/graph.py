@@ -2,18 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Fixed value: an entity candidate, one to four capitalised words.
-ENTITY = r"[A-Z][A-Za-z0-9_/-]{2,}(?:[ \t]+[A-Z][A-Za-z0-9_/-]{2,}){0,3}"
+from ..functions.text import canonical_name
+
+#: An entity candidate (one to four capitalised words), names that are none, candidates of one text.
+ENTITY = r"\b[A-Z][A-Za-z0-9_/-]{2,}(?:[ \t]+[A-Z][A-Za-z0-9_/-]{2,}){0,3}\b"
+STOPWORDS = ["a", "an", "and", "does", "for", "how", "should", "that", "the", "then", "this", "what", "when", "where", "which", "who", "why"]
+CANDIDATES = 12
+#: Words with a letter beyond ASCII: no candidate begins or ends in one, so they are blotted out and ``\b`` means the same in every engine.
+FOREIGN = r"[A-Za-z0-9_]*[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{1FFF}\x{2C00}-\x{2DFF}\x{3040}-\x{D7FF}][\p{L}\p{N}_]*"
 #: Confidence of a co-mention, weight of its predicate.
 CONFIDENCE, PREDICATE = 0.65, 0.55
+#: A name in more documents than this links them to its first document instead of all to all.
+PAIRED = 20
+
+
+def candidates(text: Column) -> Column:
+    """Canonical names of a text, in order, repeats included, stop words left out."""
+    plain = F.regexp_replace(text, FOREIGN, "·")
+    names = F.transform(F.regexp_extract_all(plain, F.lit(ENTITY), F.lit(0)), canonical_name)
+    return F.filter(names, lambda x: (x != "") & ~x.isin(STOPWORDS))
 
 
 def mentions(chunks: DataFrame) -> DataFrame:
-    """``chunk_id, document_id, name, mentions`` from ``chunks(chunk_id, document_id, text)``."""
-    found = chunks.select("chunk_id", "document_id", F.explode(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).alias("name"))
-    return found.groupBy("chunk_id", "document_id", F.lower("name").alias("name")).agg(F.count("*").alias("mentions"))
+    """``chunk_id, document_id, name, mentions`` from ``chunks(chunk_id, document_id, text)``: the first ``CANDIDATES`` names of a text, and how often it has each."""
+    found = chunks.select("chunk_id", "document_id", candidates(F.col("text")).alias("all"))
+    found = found.select("chunk_id", "document_id", "all", F.explode(F.slice(F.array_distinct("all"), 1, CANDIDATES)).alias("name"))
+    return found.select("chunk_id", "document_id", "name", F.size(F.filter("all", lambda x: x == F.col("name"))).cast("long").alias("mentions"))
+
+
+def aliases(name: Column) -> Column:
+    """The canonical name, without blanks, and its initials if there are three."""
+    parts = F.split(name, " ")
+    initials = F.array_join(F.transform(parts, lambda x: F.substring(x, 1, 1)), "")
+    return F.array_distinct(F.filter(F.array(name, F.array_join(parts, ""), F.when(F.size(parts) >= 3, initials)), lambda x: x.isNotNull()))
+
+
+def match(queries: DataFrame, names: DataFrame, top: int = 8, block: int = 500) -> DataFrame:
+    """``query_id, name, score``: the best ``top`` names of each query, by an alias in it (1.0) or by shared terms.
+
+    Queries are a stated set: blocks of them (bounded) are broadcast and met by every name once.
+    """
+    terms = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[a-z0-9_/-]{3,}"), F.lit(0)))
+    q = queries.select("query_id", F.lower("query").alias("said")).select("query_id", "said", F.regexp_replace("said", "[^a-z0-9]+", "").alias("compact"), terms(F.col("said")).alias("asked"))
+    n = names.select("name", aliases(F.col("name")).alias("aliases"), terms(F.col("name")).alias("terms"))
+    blocks = max(1, -(-q.count() // block))
+    found = None
+    for b in range(blocks):
+        part = q if blocks == 1 else q.where(F.pmod(F.hash("query_id"), F.lit(blocks)) == b)
+        pair = n.join(F.broadcast(part), F.lit(True), "cross")
+        said = F.exists("aliases", lambda x: F.col("said").contains(x) | F.col("compact").contains(x))
+        shared = F.size(F.array_intersect("terms", "asked"))
+        hit = pair.select("query_id", "name", F.when(said, 1.0).when(shared > 0, F.least(F.lit(0.95), 0.55 + shared * 0.15)).alias("score")).where("score IS NOT NULL")
+        found = hit if found is None else found.unionByName(hit)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "name")
+    return found.withColumn("score", F.round("score", 6)).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= top).drop("__r")
 
 
 def entities(rows: DataFrame) -> DataFrame:
@@ -21,7 +65,7 @@ def entities(rows: DataFrame) -> DataFrame:
 
 
 def pairs(rows: DataFrame, within: str) -> DataFrame:
-    """Pairs of names that share a ``within``; a chunk or short document has few names, so this stays small."""
+    """Pairs of names that share a ``within``; a chunk has at most ``CANDIDATES`` names, so each has a bounded number of pairs."""
     a, b = rows.select(within, F.col("name").alias("subject")), rows.select(within, F.col("name").alias("object"))
     return a.join(b, within).where("subject < object")
 
@@ -33,7 +77,7 @@ def relations(rows: DataFrame) -> DataFrame:
 def expand(related: DataFrame, asked: DataFrame) -> DataFrame:
     """Relations that touch an asked name, scored by confidence and matched ends."""
     end = lambda c: asked.select(F.col("name").alias(c), F.lit(1).alias(f"{c}_hit"))
-    r = related.join(F.broadcast(end("subject")), "subject", "left").join(F.broadcast(end("object")), "object", "left")
+    r = related.join(end("subject"), "subject", "left").join(end("object"), "object", "left")
     ends = F.coalesce("subject_hit", F.lit(0)) + F.coalesce("object_hit", F.lit(0))
     raw = ((0.72 + 0.18) * F.col("confidence") + F.when(ends == 2, 0.25).when(ends == 1, 0.08).otherwise(0.0)) * PREDICATE
     return r.where(ends > 0).withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(raw, F.lit(1.0))), 6)).select("subject", "object", "score")
@@ -55,10 +99,18 @@ def merge(base: DataFrame, graph: DataFrame, weight: float = 0.35) -> DataFrame:
 
 
 def document_links(rows: DataFrame) -> DataFrame:
-    """Pairs of documents that share names: ``left_id, right_id, shared, strength`` (Jaccard)."""
+    """Documents that share names: ``left_id, right_id, shared, strength`` (Jaccard).
+
+    A name in at most ``PAIRED`` documents links all of them; a more common one links each to
+    its first document, which keeps the name's membership without the square of its size.
+    """
     d = rows.select("document_id", "name").distinct()
     n = d.groupBy("document_id").agg(F.count("*").alias("n"))
-    a, b = d.select(F.col("document_id").alias("left_id"), "name"), d.select(F.col("document_id").alias("right_id"), "name")
-    p = a.join(b, "name").where("left_id < right_id").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
+    size = d.groupBy("name").agg(F.count("*").alias("df"), F.min("document_id").alias("first"))
+    sized = d.join(size, "name")
+    a, b = sized.where(F.col("df") <= PAIRED).select(F.col("document_id").alias("left_id"), "name"), sized.where(F.col("df") <= PAIRED).select(F.col("document_id").alias("right_id"), "name")
+    p = a.join(b, "name").where("left_id < right_id").select("left_id", "right_id", "name")
+    p = p.unionByName(sized.where((F.col("df") > PAIRED) & (F.col("document_id") > F.col("first"))).select(F.col("first").alias("left_id"), F.col("document_id").alias("right_id"), "name"))
+    p = p.groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
     p = p.join(n.select(F.col("document_id").alias("left_id"), F.col("n").alias("nl")), "left_id").join(n.select(F.col("document_id").alias("right_id"), F.col("n").alias("nr")), "right_id")
     return p.withColumn("strength", F.round(F.col("shared") / (F.col("nl") + F.col("nr") - F.col("shared")), 4))

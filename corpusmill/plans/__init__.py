@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, arrow, base, graph, search
+from . import analytics, arrow, base, graph, lifecycle, search
 
-_MODULES = [base, search, analytics, graph, arrow]
+_MODULES = [base, search, analytics, graph, lifecycle, arrow]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

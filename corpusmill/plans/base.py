@@ -71,10 +71,10 @@ def effective_role(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(own, "c_custkey", "left").select("c_custkey", F.coalesce("own", F.lit("viewer")).alias("role"))
 
 
-@query("SELECT doc_id, array_to_string(list_distinct(list_filter([lower(trim(source)), 'group:' || lang], lambda x: x <> '')), ',') IS NOT NULL AS ok, CAST(len(list_distinct([lower(trim(source)), 'group:' || lang])) AS BIGINT) AS n FROM documents")
+@query("SELECT doc_id, CASE WHEN lower(source) = 'group:' || lang THEN lower(source) ELSE lower(source) || ',group:' || lang END AS principals FROM documents")
 def principals(spark: SparkSession, sf: str) -> DataFrame:
     p = T.principals(F.array(F.concat(F.lit(" "), F.upper("source")), "source", F.concat(F.lit("group:"), "lang"), F.lit(" ")))
-    return kb.table(spark, sf, "documents").select("doc_id", p.isNotNull().alias("ok"), F.size(p).cast("long").alias("n"))
+    return kb.table(spark, sf, "documents").select("doc_id", F.array_join(p, ",").alias("principals"))
 
 
 @query("SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents)")
@@ -108,14 +108,16 @@ def pii_redact(spark: SparkSession, sf: str) -> DataFrame:
     return kb.table(spark, sf, "documents").select("doc_id", F.sha2(text, 256).alias("redacted_sha256"), hits.alias("n_hits"))
 
 
-_SECRET_TEXT = "text"
-_S = ["(?i)Bearer\\s+\\S+", T.SECRETS[1][0].replace("'", "''"), T.SECRETS[2][0]]
+def _secret_sql() -> str:
+    """Each pattern counts and replaces in the text that the one before left."""
+    step, steps = "s0 AS (SELECT doc_id, text AS t, 0 AS h FROM documents)", []
+    for i, (pattern, replacement) in enumerate(T.SECRETS):
+        p, r = pattern.replace("'", "''"), replacement.replace("$1", "\\1")
+        steps.append(f"s{i + 1} AS (SELECT doc_id, regexp_replace(t, '{p}', '{r}', 'g') AS t, h + len(regexp_extract_all(t, '{p}')) AS h FROM s{i})")
+    return f"WITH {step}, {', '.join(steps)} SELECT doc_id, CASE WHEN length(t) > 80 THEN substr(t, 1, 80) || '…' ELSE t END AS summary, CAST(h AS BIGINT) AS n_hits FROM s{len(T.SECRETS)}"
 
 
-@query(f"""WITH a AS (SELECT doc_id, text, len(regexp_extract_all(text, '{_S[0]}')) AS h1, regexp_replace(text, '{_S[0]}', 'Bearer [REDACTED]', 'g') AS t1 FROM documents),
-b AS (SELECT doc_id, h1 + len(regexp_extract_all(t1, '{_S[1]}')) AS h2, regexp_replace(t1, '{_S[1]}', '\\1[REDACTED]', 'g') AS t2 FROM a),
-c AS (SELECT doc_id, h2 + len(regexp_extract_all(t2, '{_S[2]}')) AS h3, regexp_replace(t2, '{_S[2]}', '[API KEY REDACTED]', 'g') AS t3 FROM b)
-SELECT doc_id, CASE WHEN length(t3) > 80 THEN substr(t3, 1, 80) || '…' ELSE t3 END AS summary, CAST(h3 AS BIGINT) AS n_hits FROM c""")
+@query(_secret_sql())
 def secret_summary(spark: SparkSession, sf: str) -> DataFrame:
     text, hits = T.secret_summary(F.col("text"))
     return kb.table(spark, sf, "documents").select("doc_id", text.alias("summary"), hits.alias("n_hits"))
@@ -178,9 +180,9 @@ def chunk_char_window(spark: SparkSession, sf: str) -> DataFrame:
     return _windows(spark, sf, 500, 50)
 
 
-@query(_WINDOWS.format(step=12, size=12, overlap=0).replace("FROM documents WHERE", "FROM (SELECT item_id AS doc_id, text FROM benchmark) WHERE"))
+@query(_WINDOWS.format(step=12, size=12, overlap=0))
 def sse_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    c = chunking.char_windows(kb.table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), 12, 0)
+    c = chunking.char_windows(kb.table(spark, sf, "documents").select("doc_id", "text"), 12, 0)
     return c.select("doc_id", "chunk_index", "char_start", "char_end", F.sha2("chunk", 256).alias("chunk_hash"))
 
 
@@ -223,12 +225,23 @@ def chunk_token_aware(spark: SparkSession, sf: str) -> DataFrame:
     return _chunked(spark, sf, chunking.token_chunks, F.col("text"))
 
 
-@query("SELECT doc_id, chunk_index, substr(text, CAST(CASE chunk_index WHEN 0 THEN 1 ELSE 101 END AS INTEGER), 100) AS chunk FROM (SELECT doc_id, text, unnest([0, 1]) AS chunk_index FROM documents WHERE doc_id % 10 = 0 AND length(text) > 200) ORDER BY ALL")
+_OVERRIDE = """WITH o AS (SELECT doc_id, text, [0, 100, 200] AS starts, [100, 200, length(text)] AS ends FROM documents WHERE doc_id % 10 = 0 AND length(text) > 200),
+c AS (SELECT doc_id, unnest([0, 1, 2]) AS chunk_index, text, starts, ends FROM o),
+n AS (SELECT doc_id, unnest(range(0, greatest(CAST(ceil((length(text) - 50) / 450.0) AS BIGINT), 1))) AS chunk_index, text FROM documents WHERE length(text) > 0 AND doc_id NOT IN (SELECT doc_id FROM o))
+SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, 'override' AS origin, sha256(substr(text, CAST(starts[chunk_index + 1] + 1 AS INTEGER), CAST(ends[chunk_index + 1] - starts[chunk_index + 1] AS INTEGER))) AS chunk_hash FROM c
+UNION ALL SELECT doc_id, chunk_index, 'window', sha256(substr(text, CAST(chunk_index * 450 + 1 AS INTEGER), 500)) FROM n"""
+
+
+@query(_OVERRIDE)
 def chunk_override(spark: SparkSession, sf: str) -> DataFrame:
-    d = kb.table(spark, sf, "documents").where("doc_id % 10 = 0 AND length(text) > 200")
-    spans = F.from_json(F.lit('[{"start": 0, "end": 100}, {"start": 100, "end": 200}]'), "array<struct<start:int,end:int>>")
-    d = d.select("doc_id", "text", F.posexplode(spans).alias("chunk_index", "s"))
-    return d.select("doc_id", "chunk_index", F.col("text").substr(F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("chunk"))
+    """Ranges given by hand (here for every tenth longer document, in three parts that cover it) win over the windows that all others get."""
+    d = kb.table(spark, sf, "documents").select("doc_id", "text")
+    ranges = d.where("doc_id % 10 = 0 AND length(text) > 200").select("doc_id", F.to_json(F.array(*(F.struct(F.lit(a).alias("start"), (F.lit(b) if b else F.length("text")).alias("end")) for a, b in ((0, 100), (100, 200), (200, None))))).alias("ranges"))
+    both = d.join(ranges, "doc_id", "left")
+    own = both.where("ranges IS NOT NULL").select("doc_id", "text", F.posexplode(F.from_json("ranges", "array<struct<start:int,end:int>>")).alias("chunk_index", "s"))
+    own = own.select("doc_id", F.col("chunk_index").cast("long"), F.lit("override").alias("origin"), F.sha2(F.col("text").substr(F.col("s.start") + 1, F.col("s.end") - F.col("s.start")), 256).alias("chunk_hash"))
+    rest = chunking.char_windows(both.where("ranges IS NULL").select("doc_id", "text"))
+    return own.unionByName(rest.select("doc_id", "chunk_index", F.lit("window").alias("origin"), F.sha2("chunk", 256).alias("chunk_hash")))
 
 
 @query(_LATEST + "SELECT document_id, doc_id, uri, kb, sha256(text) AS content_hash FROM l")
@@ -345,11 +358,11 @@ def retention_purge(spark: SparkSession, sf: str) -> DataFrame:
     return V.purgeable(kb.versions(spark, sf), "2024-01-15").select("doc_id", "document_id", "version_number")
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 5")
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 20 = 0")
 def cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
     e = kb.table(spark, sf, "embeddings")
-    a, b = e.where("vec_id < 5").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y"))
-    return b.join(F.broadcast(a), "label").where("a < b").select("a", "b", cosine_distance(F.col("x"), F.col("y")).alias("distance"))
+    a, b = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y"))
+    return b.join(a, "label").where("a < b").select("a", "b", cosine_distance(F.col("x"), F.col("y")).alias("distance"))
 
 
 @query("""WITH m AS (SELECT a.vec_id, list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda p: p[1] * 0.5 + p[2] * 0.5) AS v FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
@@ -378,10 +391,15 @@ def embedding_base(spark: SparkSession, sf: str) -> DataFrame:
     return kb.table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("p"), "label").alias("profile"), F.col("vec_id").alias("doc_id")).join(top, "doc_id").select("chunk_id", "document_id", "uri", "profile")
 
 
-@query(kb.VERSIONS + "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'In ' || source || ': ' || substr(text, 1, 50) WHEN doc_id % 3 = 1 THEN kb || chr(10) || substr(text, 1, 50) ELSE substr(text, 1, 50) END AS embed_text FROM v")
+_CHUNKED = "SELECT doc_id, source, kb, i AS chunk_index, substr(text, CAST(i * 450 + 1 AS INTEGER), 500) AS chunk FROM (SELECT *, unnest(range(0, greatest(CAST(ceil((length(text) - 50) / 450.0) AS BIGINT), 1))) AS i FROM v WHERE length(text) > 0)"
+
+
+@query(kb.VERSIONS + f"SELECT doc_id, chunk_index, sha256(CASE WHEN doc_id % 3 = 0 THEN 'In ' || source || ': ' || chunk WHEN doc_id % 3 = 1 THEN kb || chr(10) || chunk ELSE chunk END) AS embed_sha256 FROM ({_CHUNKED})")
 def embed_text(spark: SparkSession, sf: str) -> DataFrame:
-    v = kb.versions(spark, sf).select("doc_id", F.substring("text", 1, 50).alias("t"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("In "), "source", F.lit(": "))).alias("prefix"), F.when(F.col("doc_id") % 3 == 1, F.concat("kb", F.lit("\n"))).alias("description"))
-    return v.select("doc_id", F.concat(F.coalesce("prefix", "description", F.lit("")), "t").alias("embed_text"))
+    """What is embedded of every whole chunk: a prefix and the chunk, a description and the chunk, or the chunk alone."""
+    c = chunking.char_windows(kb.versions(spark, sf).select("doc_id", "source", "kb", "text"))
+    prefix, description = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("In "), "source", F.lit(": "))), F.when(F.col("doc_id") % 3 == 1, F.concat("kb", F.lit("\n")))
+    return c.select("doc_id", "chunk_index", F.sha2(F.concat(F.coalesce(prefix, description, F.lit("")), "chunk"), 256).alias("embed_sha256"))
 
 
 @query(kb.VERSIONS + "SELECT kb, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY CAST(doc_id AS VARCHAR))) AS fingerprint FROM v GROUP BY kb")

@@ -1,4 +1,4 @@
-"""Queries of the evidence graph and the knowledge map, over the bounded benchmark table as documents."""
+"""Queries of the evidence graph and the knowledge map over all documents: a row is a chunk, three rows are a document."""
 
 from __future__ import annotations
 
@@ -8,8 +8,11 @@ from ..operators import graph as G
 from . import kb
 
 QUERIES, SQL = {}, {}
-_ENT = r"[A-Z][A-Za-z0-9_/-]{2,}(?:[ \t]+[A-Z][A-Za-z0-9_/-]{2,}){0,3}"
-_M = f"WITH m AS (SELECT item_id AS chunk_id, item_id // 2 AS document_id, lower(e) AS name, count(*) AS mentions FROM (SELECT item_id, unnest(regexp_extract_all(text, '{_ENT}')) AS e FROM benchmark) GROUP BY ALL)"
+_STOP = ", ".join(f"'{x}'" for x in G.STOPWORDS)
+_CANON = "trim(regexp_replace(regexp_replace(lower(regexp_replace(trim({}), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
+_M = f"""WITH c AS (SELECT doc_id AS chunk_id, doc_id // 3 AS document_id, list_filter(list_transform(regexp_extract_all(regexp_replace(text, '{G.FOREIGN}', '·', 'g'), '{G.ENTITY}'), lambda x: {_CANON.format('x')}), lambda x: x <> '' AND x NOT IN ({_STOP})) AS l FROM documents),
+o AS (SELECT chunk_id, document_id, l, unnest(list_filter(l, lambda x, i: list_position(l, x) = i)[1:{G.CANDIDATES}]) AS name FROM c),
+m AS (SELECT chunk_id, document_id, name, CAST(len(list_filter(l, lambda x: x = name)) AS BIGINT) AS mentions FROM o)"""
 _E = _M + ", e AS (SELECT name, CAST(sum(mentions) AS BIGINT) AS mentions, count(DISTINCT document_id) AS documents FROM m GROUP BY 1)"
 _R = _E + ", r AS (SELECT a.name AS subject, b.name AS object, count(*) AS chunks, 0.65 AS confidence FROM m a JOIN m b ON a.chunk_id = b.chunk_id AND a.name < b.name GROUP BY 1, 2)"
 _Q = ", q AS (SELECT name FROM e ORDER BY mentions DESC, name LIMIT 3)"
@@ -26,7 +29,7 @@ def query(sql: str | None = None):
 
 
 def _mentions(spark, sf):
-    return G.mentions(kb.table(spark, sf, "benchmark").select(F.col("item_id").alias("chunk_id"), F.expr("item_id div 2").alias("document_id"), "text"))
+    return G.mentions(kb.table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.expr("doc_id div 3").alias("document_id"), "text"))
 
 
 def _asked(entities):
@@ -61,10 +64,19 @@ def kg_stats(spark: SparkSession, sf: str) -> DataFrame:
     return count(G.entities(m), "entities").crossJoin(count(m, "mentions")).crossJoin(count(G.relations(m), "relations")).crossJoin(count(m, "chunks", F.count_distinct("chunk_id")))
 
 
-@query(_R + _Q + " SELECT e.name, 1.0::DOUBLE AS score FROM e JOIN q USING (name)")
+_TERMS = "list_distinct(regexp_extract_all({}, '[a-z0-9_/-]{{3,}}'))"
+_MATCH = _E + f""", q AS (SELECT item_id AS query_id, lower(text) AS said, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS compact, {_TERMS.format('lower(text)')} AS asked FROM benchmark),
+n AS (SELECT name, replace(name, ' ', '') AS whole, string_split(name, ' ') AS parts, {_TERMS.format('name')} AS terms FROM e),
+a AS (SELECT *, array_to_string(list_transform(parts, lambda x: x[1]), '') AS initials FROM n),
+h AS (SELECT query_id, name, CASE WHEN contains(said, name) OR contains(compact, name) OR contains(said, whole) OR contains(compact, whole) OR (len(parts) >= 3 AND (contains(said, initials) OR contains(compact, initials))) THEN 1.0
+  WHEN len(list_intersect(terms, asked)) > 0 THEN least(0.95, 0.55 + len(list_intersect(terms, asked)) * 0.15) END AS score FROM q, a)"""
+
+
+@query(_MATCH + " SELECT query_id, name, round(score, 6)::DOUBLE AS score FROM h WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) <= 8")
 def graph_match(spark: SparkSession, sf: str) -> DataFrame:
-    e = G.entities(_mentions(spark, sf))
-    return e.join(_asked(e), "name", "left_semi").select("name", F.lit(1.0).alias("score"))
+    """The eight best entities of every benchmark item, by alias or by shared terms."""
+    asked = kb.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return G.match(asked, G.entities(_mentions(spark, sf)))
 
 
 _REL = _R + _Q + ", x AS (SELECT subject, object, (subject IN (SELECT name FROM q))::INT + (object IN (SELECT name FROM q))::INT AS ends FROM r), s AS (SELECT *, round(greatest(0, least(((0.72 + 0.18) * 0.65 + CASE ends WHEN 2 THEN 0.25 WHEN 1 THEN 0.08 ELSE 0 END) * 0.55, 1)), 6)::DOUBLE AS score FROM x WHERE ends > 0)"
@@ -76,23 +88,25 @@ def graph_relations(spark: SparkSession, sf: str) -> DataFrame:
     return G.expand(G.relations(m), _asked(G.entities(m))).select("subject", "object", "score")
 
 
-_CHUNKS = _REL + ", b AS (SELECT chunk_id, round(least((0.82 + 0.16) * 0.65, 1), 6)::DOUBLE AS score FROM m WHERE name IN (SELECT name FROM q) UNION ALL SELECT a.chunk_id, s.score FROM s JOIN m a ON a.name = s.subject JOIN m b ON b.name = s.object AND a.chunk_id = b.chunk_id), c AS (SELECT chunk_id, max(score) AS score FROM b GROUP BY 1)"
+_CHUNKS = _REL + ", b AS (SELECT chunk_id, round(least((0.82 + 0.16) * 0.65, 1), 6)::DOUBLE AS score FROM m WHERE name IN (SELECT name FROM q) UNION ALL SELECT a.chunk_id, s.score FROM s JOIN m a ON a.name = s.subject JOIN m b ON b.name = s.object AND a.chunk_id = b.chunk_id), best AS (SELECT chunk_id, max(score) AS score FROM b GROUP BY 1)"
 
 
-@query(_CHUNKS + " SELECT chunk_id, score FROM c")
+@query(_CHUNKS + " SELECT chunk_id, score FROM best")
 def graph_chunks(spark: SparkSession, sf: str) -> DataFrame:
     m = _mentions(spark, sf)
     asked = _asked(G.entities(m))
     return G.chunk_scores(m, asked, G.expand(G.relations(m), asked))
 
 
-@query(_CHUNKS + ", d AS (SELECT item_id AS chunk_id, round(1.0 / (item_id + 1), 6)::DOUBLE AS base FROM benchmark WHERE item_id % 2 = 0) SELECT chunk_id, round(CASE WHEN base IS NULL THEN score WHEN score IS NULL THEN base ELSE greatest(base, 0.65 * base + 0.35 * score, score) END, 6)::DOUBLE AS merged FROM d FULL JOIN c USING (chunk_id)")
+@query(_CHUNKS + ", d AS (SELECT doc_id AS chunk_id, round(1.0 / (doc_id + 1), 6)::DOUBLE AS base FROM documents) SELECT chunk_id, round(CASE WHEN base IS NULL THEN score WHEN score IS NULL THEN base ELSE greatest(base, 0.65 * base + 0.35 * score, score) END, 6)::DOUBLE AS merged FROM d FULL JOIN best USING (chunk_id)")
 def graph_merge(spark: SparkSession, sf: str) -> DataFrame:
-    base = kb.table(spark, sf, "benchmark").where("item_id % 2 = 0").select(F.col("item_id").alias("chunk_id"), F.round(1.0 / (F.col("item_id") + 1), 6).alias("base"))
+    base = kb.table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.round(1.0 / (F.col("doc_id") + 1), 6).alias("base"))
     return G.merge(base, graph_chunks(spark, sf)).select("chunk_id", "merged")
 
 
-_DOCS = _M + ", de AS (SELECT DISTINCT document_id, name FROM m), dn AS (SELECT document_id, count(*) AS n FROM de GROUP BY 1), p AS (SELECT a.document_id AS left_id, b.document_id AS right_id, count(*) AS shared FROM de a JOIN de b ON a.name = b.name AND a.document_id < b.document_id GROUP BY 1, 2)"
+_DOCS = _M + f""", de AS (SELECT DISTINCT document_id, name FROM m), dn AS (SELECT document_id, count(*) AS n FROM de GROUP BY 1), z AS (SELECT name, count(*) AS df, min(document_id) AS first FROM de GROUP BY 1), sz AS (SELECT * FROM de JOIN z USING (name)),
+pn AS (SELECT a.document_id AS left_id, b.document_id AS right_id FROM sz a JOIN sz b ON a.name = b.name AND a.document_id < b.document_id WHERE a.df <= {G.PAIRED} UNION ALL SELECT first, document_id FROM sz WHERE df > {G.PAIRED} AND document_id > first),
+p AS (SELECT left_id, right_id, count(*) AS shared FROM pn GROUP BY 1, 2)"""
 
 
 @query(_DOCS + " SELECT left_id, right_id, shared FROM p")

@@ -1,4 +1,4 @@
-"""Queries of the retrieval algebra."""
+"""Queries of the retrieval algebra: every row whose id is divisible by 20 asks, all rows answer."""
 
 from __future__ import annotations
 
@@ -11,9 +11,9 @@ from . import kb
 QUERIES, SQL = {}, {}
 _TOK = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
 _DIST = "CASE WHEN sqrt(list_sum(list_transform({a}::DOUBLE[], lambda x: x * x))) = 0 THEN 1 ELSE round(1 - list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[]), 6) END"
-_KNN = f"""WITH h AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, {_DIST.format(a='q.embedding', b='v.embedding')} AS distance FROM embeddings q, embeddings v WHERE q.vec_id < 5),
+_KNN = f"""WITH h AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, {_DIST.format(a='q.embedding', b='v.embedding')} AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM h)"""
-_CAND = _KNN + f""", qt AS (SELECT doc_id AS query_id, array_to_string({_TOK.format('text')}[1:8], ' ') AS query FROM documents WHERE doc_id < 5),
+_CAND = _KNN + f""", qt AS (SELECT doc_id AS query_id, text AS query FROM documents WHERE doc_id % 20 = 0),
 c AS (SELECT query_id, query, chunk_id, text, rank, round(1 - distance, 6) AS score FROM r JOIN qt USING (query_id) JOIN documents ON doc_id = chunk_id WHERE rank <= 20)"""
 _LEX = _CAND + f""", w AS (SELECT query_id, chunk_id, list_distinct({_TOK.format('query')}) AS q, {_TOK.format('text')} AS w FROM c),
 st AS (SELECT query_id, count(*) AS n, avg(len(w)) AS mean FROM w GROUP BY 1),
@@ -42,14 +42,14 @@ def _vectors(spark, sf):
 
 def _nearest(spark, sf, k):
     v = _vectors(spark, sf)
-    return R.knn(v.where("chunk_id < 5").withColumnRenamed("chunk_id", "query_id"), v, k)
+    return R.knn(v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), v, k)
 
 
 def _candidates(spark, sf):
     d = kb.table(spark, sf, "documents").select("doc_id", "text")
-    q = d.where("doc_id < 5").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(tokens(F.col("text")), 1, 8), " ").alias("query"))
+    q = d.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     near = _nearest(spark, sf, 20).withColumn("score", F.round(1 - F.col("distance"), 6)).drop("distance")
-    return F.broadcast(near.join(F.broadcast(q), "query_id")).join(d.withColumnRenamed("doc_id", "chunk_id"), "chunk_id")
+    return near.join(q, "query_id").join(d.withColumnRenamed("doc_id", "chunk_id"), "chunk_id")
 
 
 def _fused(spark, sf):
@@ -92,16 +92,17 @@ def search_hybrid_rerank(spark: SparkSession, sf: str) -> DataFrame:
     return R.rerank(fused).where("rank_after <= 5").select("query_id", "chunk_id", "rerank_score", F.col("rank_after").alias("rank"))
 
 
-_BQ = f"SELECT item_id AS query_id, array_to_string({_TOK.format('text')}[1:8], ' ') AS query FROM benchmark WHERE item_id < 3"
-
-
-@query(f"""WITH q AS ({_BQ}), d AS (SELECT doc_id, {_TOK.format('text')} AS w FROM documents WHERE lang = 'en'),
+@query(f"""WITH q AS (SELECT item_id AS query_id, text AS query FROM benchmark), d AS (SELECT doc_id, {_TOK.format('text')} AS w FROM documents),
 t AS (SELECT query_id, unnest(list_distinct({_TOK.format('query')})) AS term FROM q), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
-tf AS (SELECT doc_id, l, term, count(*) AS c FROM (SELECT doc_id, len(w) AS l, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM t) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
-SELECT query_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * (c / l) * 2.2 / ((c / l) + 1.2 * (0.25 + 0.75 * l / mean))), 6) AS score FROM tf JOIN df USING (term) JOIN t USING (term), s GROUP BY 1, 2""")
+tf AS (SELECT doc_id, l, term, count(*) AS c FROM (SELECT doc_id, len(w) AS l, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM t) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+h AS (SELECT query_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * (c / l) * 2.2 / ((c / l) + 1.2 * (0.25 + 0.75 * l / mean))), 4) AS score FROM tf JOIN df USING (term) JOIN t USING (term), s GROUP BY 1, 2)
+SELECT query_id, doc_id, score FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20""")
 def bm25(spark: SparkSession, sf: str) -> DataFrame:
-    q = kb.table(spark, sf, "benchmark").where("item_id < 3").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(tokens(F.col("text")), 1, 8), " ").alias("query"))
-    return R.bm25(q, kb.table(spark, sf, "documents").where("lang = 'en'"))
+    """The twenty best documents, of every language, for the whole text of each benchmark item."""
+    q = kb.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    scored = R.bm25(q, kb.table(spark, sf, "documents"), digits=4)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(w)).where("rank <= 20").drop("rank")
 
 
 @query(f"SELECT doc_id, round(len(list_intersect(['the', 'that', 'of', 'and'], {_TOK.format('text')})) / 4, 6) AS overlap FROM documents")
@@ -125,11 +126,11 @@ def near_dup(spark: SparkSession, sf: str) -> DataFrame:
     return first.where("1 - b.distance >= 0.3").select("query_id", F.col("b.chunk_id").alias("chunk_id"), F.round(1 - F.col("b.distance"), 6).alias("similarity"))
 
 
-@query(f"""WITH h AS (SELECT q.vec_id AS query_id, v.vec_id AS entry_id, {_DIST.format(a='q.embedding', b='v.embedding')} AS distance FROM embeddings q, embeddings v WHERE q.vec_id < 5 AND v.vec_id % 3 <> 0),
+@query(f"""WITH h AS (SELECT q.vec_id AS query_id, v.vec_id AS entry_id, {_DIST.format(a='q.embedding', b='v.embedding')} AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND v.vec_id % 3 <> 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, entry_id) AS k FROM h) SELECT query_id, entry_id, round(1 - distance, 6) AS similarity FROM r WHERE k = 1 AND 1 - distance >= 0.25""")
 def cache_lookup(spark: SparkSession, sf: str) -> DataFrame:
     v = _vectors(spark, sf)
-    hit = R.knn(v.where("chunk_id < 5").withColumnRenamed("chunk_id", "query_id"), v.where("chunk_id % 3 <> 0"), 1)
+    hit = R.knn(v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), v.where("chunk_id % 3 <> 0"), 1)
     return hit.where("1 - distance >= 0.25").select("query_id", F.col("chunk_id").alias("entry_id"), F.round(1 - F.col("distance"), 6).alias("similarity"))
 
 
@@ -174,10 +175,19 @@ def parent_hydrate(spark: SparkSession, sf: str) -> DataFrame:
     return child.join(parent, ["doc_id", "parent_index"], "left").select("doc_id", "child_index", "parent_index", "parent_chars")
 
 
-@query(_KNN + ", s AS (SELECT query_id, chunk_id // 3 AS document_id, min(rank) AS rank FROM r WHERE rank <= 5 GROUP BY 1, 2) SELECT query_id, document_id, 'chunk' AS kind FROM s UNION ALL SELECT query_id, document_id, 'summary' FROM (SELECT q.query_id, d.document_id FROM (SELECT DISTINCT query_id FROM s) q, (SELECT DISTINCT doc_id // 3 AS document_id FROM documents WHERE doc_id < 60) d) x WHERE (query_id, document_id) NOT IN (SELECT (query_id, document_id) FROM s)")
+_SUMMARY = f"""WITH d AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, {_DIST.format(a='q.embedding', b='v.embedding')} AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),
+c AS (SELECT DISTINCT query_id, chunk_id // 3 AS document_id FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) <= 5)),
+s AS (SELECT query_id, chunk_id // 3 AS document_id FROM (SELECT * FROM d WHERE chunk_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) <= 5))
+SELECT query_id, document_id, 'chunk' AS kind FROM c UNION ALL SELECT query_id, document_id, 'summary' AS kind FROM s ANTI JOIN c USING (query_id, document_id)"""
+
+
+@query(_SUMMARY)
 def summary_search(spark: SparkSession, sf: str) -> DataFrame:
-    hits = _nearest(spark, sf, 5).select("query_id", F.expr("chunk_id div 3").alias("document_id")).distinct()
-    summaries = kb.table(spark, sf, "documents").where("doc_id < 60").select(F.expr("doc_id div 3").alias("document_id")).distinct()
-    offered = hits.select("query_id").distinct().crossJoin(F.broadcast(summaries))
-    more = offered.join(hits, ["query_id", "document_id"], "left_anti")
+    """Documents of the five nearest chunks, and of the five nearest summaries (a document's first vector) where no chunk was found."""
+    v = _vectors(spark, sf)
+    q = v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+    document = F.expr("chunk_id div 3").alias("document_id")
+    hits = R.knn(q, v, 5).select("query_id", document).distinct()
+    summaries = R.knn(q, v.where("chunk_id % 3 = 0"), 5).select("query_id", document)
+    more = summaries.join(hits, ["query_id", "document_id"], "left_anti")
     return hits.withColumn("kind", F.lit("chunk")).unionByName(more.withColumn("kind", F.lit("summary")))

@@ -14,12 +14,12 @@ _DECISION = "key long, ts timestamp, admitted boolean, retry_after double"
 
 
 def admit(times: list[float], held: list[float], limit: int, window: float) -> tuple[list[tuple[bool, float]], list[float]]:
-    """Decisions for sorted times given the admitted ones still in the window; refused events don't count."""
+    """Decisions for sorted times given the admitted ones still in the window, with whole seconds to wait; refused events don't count."""
     out = []
     for t in times:
         held = [h for h in held if h > t - window]
         ok = len(held) < limit
-        out.append((ok, 0.0 if ok else held[0] + window - t))
+        out.append((ok, 0.0 if ok else float(max(1, int(held[0] + window - t) + 1))))
         if ok:
             held.append(t)
     return out, held
@@ -27,7 +27,7 @@ def admit(times: list[float], held: list[float], limit: int, window: float) -> t
 
 def rate_limit(events: DataFrame, per_minute: int, key: str = "user_id", ts: str = "ts", window: float = 60.0) -> DataFrame:
     """Sliding-window limiter of each key over a batch table: ``key, ts, admitted, retry_after``."""
-    limit = int(per_minute * 1.5)
+    limit = max(1, int(per_minute * 1.5))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable")
@@ -39,7 +39,7 @@ def rate_limit(events: DataFrame, per_minute: int, key: str = "user_id", ts: str
 
 def rate_limit_stream(events: DataFrame, per_minute: int, key: str = "user_id", ts: str = "ts", window: float = 60.0) -> DataFrame:
     """The limiter over a stream: admitted times of the last window are each key's state, and time out."""
-    limit = int(per_minute * 1.5)
+    limit = max(1, int(per_minute * 1.5))
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

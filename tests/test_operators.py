@@ -66,6 +66,16 @@ def test_chunkers_keep_every_word():
     assert all(len(t) <= 500 for t, _, _ in chunking.paragraph_chunks(text) + chunking.recursive_chunks(text))
 
 
+def test_heading_and_recursive_chunks():
+    text = "pre\n# A\nbody one\n## B\n\n" + "Long one. " * 60
+    got = [t for t, _, _ in chunking.heading_chunks(text)]
+    assert got[:2] == ["pre", "# A\n\nbody one"] and got[2].startswith("## B\n\nLong one.") and len(got) == 4
+    assert chunking.heading_chunks("plain") == [("plain", 0, 5)]
+    parts = chunking.recursive_chunks(text, 100, 10)
+    assert [t for t, _, _ in parts[:2]] == ["pre", "# A\nbody one"] and all(text[a:b] == t == t.strip() and len(t) <= 100 for t, a, b in parts)
+    assert [t for t, _, _ in chunking.recursive_chunks("あ。い！う", 3, 0)] == ["あ。", "い！", "う"]
+
+
 def test_min_max_of_equal_scores_is_zero(spark):
     rows = spark.createDataFrame([(1, 1, 0.5, 2.0), (1, 2, 0.5, 0.0)], "query_id long, chunk_id long, score double, lexical double")
     assert [(r.chunk_id, r.fused, r.rank) for r in retrieval.fuse(rows).orderBy("rank").collect()] == [(1, 0.3, 1), (2, 0.0, 2)]
@@ -102,9 +112,11 @@ def test_embedder():
 
 
 def test_parsers():
-    assert parsing.html_text("<head><title>t</title></head><p>a <b>b</b></p><script>x</script><div>c</div>") == "a b\nc"
+    assert parsing.html_text("<head><title>t</title></head><p>a <b>b</b></p><script>x</script><div>c</div>") == "a\nb\n\nc"
+    assert parsing.html_text("<nav>m</nav>x<br>y<!-- c -->gone<i>z</i><script>s</script>tail<td>q</td>") == "m\nx\ny\nz\n\nq"
     assert parsing.csv_text('a,b\n1,"x, y"\n,\n3,,z\n') == "a: 1, b: x, y\na: 3, col2: z"
-    assert parsing.csv_text("only") == "only"
+    assert parsing.csv_text("only") == "only" and parsing.csv_text(" \n") == "" and parsing.csv_text("h\n , \n") == "h\n , \n"
+    assert parsing.csv_text(",b\n x , y\n") == ": x, b: y" and len(parsing.csv_text("h\n" + "z" * 200_000)) == 200_003
     assert parsing.json_text('{"a": {"b": [1, null, {"c": "x"}]}}') == "a.b[0]: 1\na.b[2].c: x"
     assert parsing.parse("json", b"{") == ("", "error", "JSONDecodeError")
     assert parsing.parse("txt", b"\xff")[1] == "error"
@@ -155,7 +167,7 @@ def test_sinks(spark, tmp_path):
 
 def test_limiter_does_not_count_refused_events():
     done, held = streaming.admit([0, 1, 2, 3, 61, 61.5], [], 2, 60)
-    assert [d[0] for d in done] == [True, True, False, False, True, True] and done[2][1] == 58 and held == [61, 61.5]
+    assert [d[0] for d in done] == [True, True, False, False, True, True] and done[2][1] == 59 and held == [61, 61.5]
 
 
 def test_limiter_stream_equals_batch(spark, tmp_path):
