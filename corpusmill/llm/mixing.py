@@ -93,7 +93,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) ->
             lists[i] = sorted(r.word for r in best.select("word").collect())
     measured = materialize(sample.select("domain", F.array(*_measures(F.col("text"), lists)).alias("x")), "measured")
     n = 5 + k
-    cuts = measured.agg(*(F.percentile_approx(F.col("x")[j], [i / 12 for i in range(1, 12)], 2000) for j in range(n))).first()
+    cuts = measured.agg(*(F.percentile(F.col("x")[j], [i / 12 for i in range(1, 12)]) for j in range(n))).first()
     edges = [sorted(set(cuts[j] or [])) if j < 5 else [0.5, 1.5, 2.5] for j in range(n)]
     binned = measured.select("domain", F.posexplode(F.array(*(_bin(F.col("x")[j], edges[j]) for j in range(n)))).alias("j", "b")).groupBy("j", "b", "domain").count().collect()
     got = {(r.j, r.b, r.domain): r["count"] for r in binned}
