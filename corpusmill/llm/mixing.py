@@ -7,7 +7,7 @@ Rates ``r >= 0`` then make the expected tokens of each domain, the sum of
 solved by projected gradient. The gradient is scaled by the inverse of the domains' overlap
 (the sums of ``tokens * p[i] * p[k]`` over texts that aren't out), so a few steps do; one
 that doesn't bring the targets nearer is halved. A step needs only these sums, so each is one
-aggregation over the posterior table, and a text's rate is a fold over the steps taken. Rates
+aggregation over the tokens by distinct posteriors, and a text's rate is a fold over the steps taken. Rates
 have no upper bound (``mix`` only thins: 1). Steps end when every target is met within
 ``TOLERANCE`` of all tokens, when none brings them ``STILL`` nearer, or after ``STEPS``; if
 targets are unmet then (a domain without tokens, domains that no text tells apart, more
@@ -129,10 +129,12 @@ def fit_rates(posteriors: DataFrame, targets: dict[str, float], most: float, bud
     """``posteriors(__tokens, __p)`` with ``__rate`` from 0 to ``most`` by projected gradient, and whether every target is met. budget: tokens as a multiple of all, or a domain whose tokens stay as they are."""
     k = len(domains)
     start = posteriors.withColumn("__rate", F.lit(min(1.0, most)))
+    # A rate hangs on the posteriors alone, and binned measures leave a bounded number of these: steps sum over them, not over texts.
+    cells = materialize(posteriors.groupBy("__p").agg(F.sum("__tokens").alias("__tokens")).withColumn("__rate", F.lit(min(1.0, most))), "cells")
     p = [F.col("__p")[i] for i in range(k)]
 
     def sums(taken: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
-        rated = start.withColumn("__r", _rate(taken, most))
+        rated = cells.withColumn("__r", _rate(taken, most))
         overlap = [F.sum(F.when(F.col("__r") > 0, F.col("__tokens") * p[i] * p[j])) for i in range(k) for j in range(k)]
         got = np.array([float(x or 0) for x in rated.agg(*(F.sum(F.col("__r") * F.col("__tokens") * x) for x in p), *overlap).first()])
         return got[:k], got[k:].reshape(k, k)
