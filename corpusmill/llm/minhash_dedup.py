@@ -120,9 +120,11 @@ def _features(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int)
 
 
 def _class_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Sets of the texts that are of the class wanted of their row."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
-            sets = list(_sets(batch.column(0).slice(lo, 512), k))
+            wanted = batch.column(1).slice(lo, 512).to_pylist()
+            sets = [s for s, w in zip(_sets(batch.column(0).slice(lo, 512), k), wanted, strict=True) if _class(s) == w]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate(sets or [np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.record_batch([pa.array(map(_class, sets), pa.binary()), pa.ListArray.from_arrays(offsets, flat)], names=["class_id", "shingles"])
@@ -137,11 +139,10 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     features = materialize(map_arrow(texts, partial(_features, k=shingle, bands=bands, rows=rows), _FEATURES), "features")
     known = features.where("class_id is not null and doc_id is not null")
     classes = materialize(known.groupBy("class_id").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), *(F.first(f"c{i}").alias(f"c{i}") for i in range(4))), "classes")
-    found = _links(texts, classes, percent, shingle, codes)
-    if found is None:
+    parts = _parts(texts, classes, percent, shingle, codes)
+    if parts is None:
         least = classes.select("class_id", F.col("first_id").alias("component_id"))
     else:
-        parts = components(found)
         named = classes.select("class_id", "first_id").join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
         named = materialize(named, "named")
         smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
@@ -151,8 +152,8 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", "n_shingles", part.alias("component_id"), F.coalesce(F.col("doc_id") == part, F.lit(True)).alias("kept"))
 
 
-def _links(texts: DataFrame, classes: DataFrame, percent: int, shingle: int, codes: int) -> DataFrame | None:
-    """Links that join all classes of a group: first by stars of each bucket, then between their components."""
+def _parts(texts: DataFrame, classes: DataFrame, percent: int, shingle: int, codes: int) -> DataFrame | None:
+    """``node, component`` of every class with a link: first by stars of each bucket, then between their components."""
     band = classes.select("class_id", F.explode("bands").alias("bucket"))
     groups = band.groupBy("bucket").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.count("*").alias("size")).where("low <> high").select("bucket", "size")
     shared = materialize(band.join(groups, "bucket"), "buckets")
@@ -163,7 +164,7 @@ def _links(texts: DataFrame, classes: DataFrame, percent: int, shingle: int, cod
     first = _verified(_candidates(star, classes, percent, codes), texts, classes, percent, shingle)
     if first is None:
         return None
-    parts = components(first)
+    parts = materialize(components(first), "parts")
     member = shared.select("bucket", "class_id").join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").select("bucket", "class_id", F.coalesce("component", "class_id").alias("part"))
     member = materialize(member, "members")
     # The commonest component of a bucket; of two members of different components one at least is outside it.
@@ -171,11 +172,15 @@ def _links(texts: DataFrame, classes: DataFrame, percent: int, shingle: int, cod
     main = part.groupBy("bucket").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"), F.count("*").alias("parts"))
     main = main.where("parts > 1").select("bucket", "main", ((F.col("n") * F.col("n") - F.col("same")) > 2 * LIGHT * F.col("n")).alias("heavy"))
     mixed = materialize(member.join(main, "bucket"), "mixed")
+    if mixed.isEmpty():
+        return parts
     x, y = mixed.where("not heavy and part <> main").alias("x"), mixed.where("not heavy").alias("y")
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("y.main")) | (F.col("x.class_id") < F.col("y.class_id")))).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"))
-    pairs = pairs.unionByName(_rare_pairs(mixed.where("heavy").select("class_id", "part").distinct(), texts, classes, percent, shingle))
+    if not mixed.where("heavy").isEmpty():
+        pairs = pairs.unionByName(_rare_pairs(mixed.where("heavy").select("class_id", "part").distinct(), texts, classes, percent, shingle))
     more = _verified(_candidates(pairs, classes, percent, codes), texts, classes, percent, shingle)
-    return first if more is None else first.unionByName(more)
+    # A component stands for its links.
+    return parts if more is None else components(parts.toDF("a", "b").unionByName(more))
 
 
 def _rare_pairs(members: DataFrame, texts: DataFrame, classes: DataFrame, percent: int, shingle: int) -> DataFrame:
@@ -186,7 +191,7 @@ def _rare_pairs(members: DataFrame, texts: DataFrame, classes: DataFrame, percen
     differ, so the join is on such a shingle. Nothing is lost and nothing is capped.
     """
     members = materialize(members, "heavy")
-    own = _sets_of(members.select("class_id").distinct(), texts, classes, shingle)
+    own = _sets_of(classes.select("class_id", "first_id").join(members.select("class_id").distinct(), "class_id"), texts, shingle)
     each = own.select("class_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     ranked = each.join(each.groupBy("s").agg(F.count("*").alias("df")), "s").withColumn("place", F.row_number().over(Window.partitionBy("class_id").orderBy("df", "s")))
     rare = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).join(members, "class_id").select("s", "class_id", "part", "n", "place")
@@ -199,13 +204,13 @@ def _rare_pairs(members: DataFrame, texts: DataFrame, classes: DataFrame, percen
 
 
 def _candidates(pairs: DataFrame, classes: DataFrame, percent: int, codes: int) -> DataFrame:
-    """Distinct pairs whose set sizes and signature codes leave the threshold possible, as ``a, b, na, nb`` with a < b."""
+    """Distinct pairs whose set sizes and signature codes leave the threshold possible, as ``a, b, na, nb`` with a < b, and the first ids of both."""
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda s: classes.select(F.col("class_id").alias(s), F.col("n").alias(f"n{s}"), *(F.col(f"c{i}").alias(f"{s}{i}") for i in range(4)))
+    side = lambda s: classes.select(F.col("class_id").alias(s), F.col("n").alias(f"n{s}"), F.col("first_id").alias(f"first_{s}"), *(F.col(f"c{i}").alias(f"{s}{i}") for i in range(4)))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     differ = [F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}")) for i in range(4)]
     odd = sum((F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555))) for d in differ[1:]), F.bit_count(differ[0].bitwiseOR(F.shiftrightunsigned(differ[0], 1)).bitwiseAND(F.lit(0x5555555555555555))))
-    return both.where(F.lit(codes) - odd >= least_agreement(percent, codes)).select("a", "b", "na", "nb")
+    return both.where(F.lit(codes) - odd >= least_agreement(percent, codes)).select("a", "b", "na", "nb", "first_a", "first_b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent: int, shingle: int) -> DataFrame | None:
@@ -213,15 +218,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, percent: i
     pairs = materialize(pairs, "pairs")
     if pairs.isEmpty():
         return None
-    ends = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))).distinct()
-    sets = _sets_of(materialize(ends, "ends"), texts, classes, shingle)
-    joined = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    end = lambda s: pairs.select(F.col(s).alias("class_id"), F.col(f"first_{s}").alias("first_id"))
+    sets = _sets_of(end("a").unionByName(end("b")).distinct(), texts, shingle)
+    joined = pairs.select("a", "b", "na", "nb").join(sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return materialize(joined.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b"), "verified")
 
 
-def _sets_of(wanted: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
-    """``class_id, shingles``, once each, of the classes ``wanted``: ids may repeat, so rows of an id may have other classes or the same again."""
-    ids = materialize(classes.join(wanted, "class_id", "left_semi").select(F.col("first_id").alias("doc_id")).distinct(), "ids")
-    sets = map_arrow(texts.join(small(ids), "doc_id", "left_semi").select("text"), partial(_class_sets, k=shingle), "class_id binary, shingles array<long>")
-    return materialize(sets.join(small(wanted.select("class_id")), "class_id", "left_semi").groupBy("class_id").agg(F.first("shingles").alias("shingles")), "sets")
+def _sets_of(wanted: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """``class_id, shingles``, once each, of the classes ``wanted(class_id, first_id)``: ids may repeat, so rows of an id may have other classes or the same again."""
+    wanted = materialize(wanted.select(F.col("first_id").alias("doc_id"), F.col("class_id").alias("wanted")), "wanted")
+    sets = map_arrow(texts.join(small(wanted), "doc_id").select("text", "wanted"), partial(_class_sets, k=shingle), "class_id binary, shingles array<long>")
+    return materialize(sets.groupBy("class_id").agg(F.first("shingles").alias("shingles")), "sets")
