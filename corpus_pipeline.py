@@ -20,7 +20,7 @@ from corpusmill.llm.language_id import fit, held_out, identify
 from corpusmill.llm.minhash_dedup import minhash_dedup
 from corpusmill.llm.mixing import mix
 from corpusmill.llm.packing import pack
-from corpusmill.llm.scratch import clear, mark, materialize, small
+from corpusmill.llm.scratch import clear, mark, materialize, small, spread
 
 #: A text whose leading language covers less than this share of its words has no language; nor
 #: has one of a lesser margin. On held-out clean texts of sf0.1 the least share was 0.60 and the
@@ -69,7 +69,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; a stage's intermediate tables are deleted once its output is written."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES:
         since = mark()
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")

@@ -14,6 +14,7 @@ from .minhash_dedup import minhash_dedup
 from .mixing import mixing_rates
 from .packing import pack
 from .quality_rules import quality_rules
+from .scratch import spread
 from .suffix_tree import score_documents
 
 
@@ -21,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, "documents"))
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -29,39 +34,39 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify_documents(_table(spark, sf_dir, "documents"))
+    return identify_documents(_documents(spark, sf_dir))
 
 
 def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(_table(spark, sf_dir, "documents"))
+    return score_documents(_documents(spark, sf_dir))
 
 
 def op4_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passage_quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return passage_quality.score_documents(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return contamination(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_table(spark, sf_dir, "documents"))
+    return pack(_documents(spark, sf_dir))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return mixing_rates(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup(_table(spark, sf_dir, "documents"))
+    return minhash_dedup(_documents(spark, sf_dir))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(_table(spark, sf_dir, "documents"))
+    return quality_rules(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

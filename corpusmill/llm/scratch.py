@@ -69,3 +69,9 @@ def clear(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (cheap to count) with a broadcast hint if it has at most ``rows`` rows, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a table as read, dealt over all cores where fewer of its partitions hold rows (a small table in one row group); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.select(F.spark_partition_id()).distinct().count() < cores else df
