@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import passage_quality, toxicity
+from . import fill_middle, passage_quality, toxicity, warc
 from .chat_format import digests, format_conversations
+from .conversation_repair import damage, repairs
 from .decontaminate import contamination
 from .language_id import identify_documents
 from .minhash_dedup import minhash_dedup
 from .mixing import mixing_rates
 from .packing import pack
 from .quality_rules import quality_rules
-from .scratch import spread
+from .scratch import fresh_path, spread
 from .suffix_tree import score_documents
 
 
@@ -69,6 +70,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write_warc(spread(_table(spark, sf_dir, "pages")), path)
+    return warc.page_records(warc.read_warc(spark, path))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.fill_in_middle(_documents(spark, sf_dir)))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repairs(damage(_table(spark, sf_dir, "conversations")), F.col("present"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
