@@ -37,11 +37,16 @@ def _bounded(needle: Column, whole_words: bool) -> Column:
     return F.slice(w, first + 1, F.greatest(F.size(w) - first - last, F.lit(0)))
 
 
-def _runs(words: Column, size: int) -> Column:
-    """Distinct hashes of runs of ``size`` words; a clash only adds a candidate."""
-    h = F.transform(words, lambda w: F.xxhash64(w))
-    at = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(size)))))
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _runs(hashes: Column, size: int) -> Column:
+    """Hashes of runs of ``size`` neighbours in a column of word hashes; a clash only adds a candidate."""
+    n, run = F.size(hashes), hashes
+    for k in range(1, size):
+        run = F.zip_with(run, F.slice(hashes, k + 1, F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b))
+    return F.slice(run, 1, F.greatest(n - size + 1, F.lit(0)))
 
 
 def _counted(text: Column, needle: Column, whole_words: bool) -> tuple[Column, Column]:
@@ -70,11 +75,12 @@ def contains_join(patterns: DataFrame, texts: DataFrame, whole_words: bool = Fal
     sizes = sorted(r[0] for r in needles.select("size").distinct().collect() if r[0])  # at most RUN rows
     found = None
     if sizes:
-        by_size = lambda words: F.flatten(F.array(*(_runs(words, k) for k in sizes)))
-        per_size = F.coalesce(*(F.when(F.col("size") == k, _runs(F.col("w"), k)) for k in sizes))
-        runs = materialize(needles.where("size > 0").select("needle", F.explode(per_size).alias("run")), "runs")
+        per_size = F.coalesce(*(F.when(F.col("size") == k, _runs(F.col("h"), k)) for k in sizes))
+        runs = materialize(needles.where("size > 0").select("needle", "size", _hashes(F.col("w")).alias("h")).select("needle", F.explode(F.array_distinct(per_size)).alias("run")), "runs")
         known = small(runs.select("run").distinct())
-        postings = materialize(held.select("text_id", F.explode(F.array_distinct(by_size(_words(F.col("text"))))).alias("run")).join(known, "run", "left_semi"), "postings")
+        hashed = held.select("text_id", _hashes(_words(F.col("text"))).alias("h"))
+        every = F.array_distinct(F.flatten(F.array(*(_runs(F.col("h"), k) for k in sizes))))
+        postings = materialize(hashed.select("text_id", F.explode(every).alias("run")).join(known, "run", "left_semi"), "postings")
         common = postings.groupBy("run").agg(F.count("*").alias("texts"))
         # A run that no text has leaves its pattern without candidates.
         rarest = runs.join(common, "run", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "run")).alias("best")).where("best.texts > 0").select("needle", "best.run")

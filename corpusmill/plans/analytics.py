@@ -123,79 +123,6 @@ def index_plan(spark: SparkSession, sf: str) -> DataFrame:
     return kb.table(spark, sf, "documents").select("doc_id", F.when(F.length(F.trim("text")) == 0, "skip_empty").when(F.col("doc_id") % 3 == 0, "skip_indexed").otherwise("index").alias("action"))
 
 
-_RANKS = """WITH g AS (SELECT item_id, lower(substr(text, 1, 60)) AS want, item_id % 3 AS tag FROM benchmark),
-d AS (SELECT lang, doc_id, lower(text) AS t FROM documents),
-m AS (SELECT item_id, min(doc_id) AS first FROM g JOIN d ON contains(t, want) GROUP BY 1),
-e AS (SELECT g.item_id, 'tag' || tag AS tag, first, CASE WHEN first IS NULL THEN NULL ELSE first % 7 + 1 END AS rank FROM g LEFT JOIN m USING (item_id))"""
-
-
-def _ranks(spark, sf):
-    """Golden citations found in documents; the containment join is cut to texts that share the citation's rarest pair of words."""
-    want = F.lower(F.substring("text", 1, 60))
-    g = kb.table(spark, sf, "benchmark").select("item_id", want.alias("want"), (F.col("item_id") % 3).alias("tag"))
-    # A long word inside the citation must be a whole word of the text: the join is on it.
-    inner = F.filter(F.split("want", r"\s+"), lambda x, i: i > 0)
-    g = g.withColumn("inner", F.slice(inner, 1, F.greatest(F.size(inner) - 1, F.lit(1))))
-    g = g.withColumn("word", F.array_max(F.transform("inner", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    d = kb.table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"))
-    hit = d.select("doc_id", "t", F.explode(F.array_distinct(F.split("t", r"\s+"))).alias("word")).join(F.broadcast(g), "word").where(F.col("t").contains(F.col("want")))
-    first = hit.groupBy("item_id").agg(F.min("doc_id").alias("first"))
-    e = g.join(first, "item_id", "left")
-    return e.select("item_id", F.concat(F.lit("tag"), "tag").alias("tag"), "first", (F.col("first") % 7 + 1).alias("rank"))
-
-
-@query(_RANKS + " SELECT item_id, tag, first, rank FROM e")
-def eval_items(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranks(spark, sf)
-
-
-_METRICS = "count(*) AS n, round(count(*) FILTER (rank = 1) / count(*), 4) AS hit1, round(count(*) FILTER (rank <= 3) / count(*), 4) AS hit3, round(count(*) FILTER (rank <= 5) / count(*), 4) AS hit5, round(sum(CASE WHEN rank IS NULL THEN 0 ELSE 1.0 / rank END) / count(*), 4) AS mrr, round(count(*) FILTER (rank IS NULL) / count(*), 4) AS zero_rate"
-
-
-def _metrics():
-    r, n = F.col("rank"), F.count("*")
-    return [n.alias("n"), *(F.round(F.count_if(r <= k) / n, 4).alias(f"hit{k}") for k in (1, 3, 5)), F.round(F.sum(F.when(r.isNull(), 0.0).otherwise(1.0 / r)) / n, 4).alias("mrr"), F.round(F.count_if(r.isNull()) / n, 4).alias("zero_rate")]
-
-
-@query(_RANKS + f" SELECT {_METRICS} FROM e")
-def eval_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranks(spark, sf).agg(*_metrics())
-
-
-@query(_RANKS + f" SELECT tag, {_METRICS} FROM e GROUP BY tag")
-def eval_per_tag(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranks(spark, sf).groupBy("tag").agg(*_metrics())
-
-
-_DIFF = _RANKS + ", b AS (SELECT item_id, CASE WHEN item_id % 4 = 0 THEN NULL WHEN rank IS NULL THEN 5 ELSE item_id % 6 + 1 END AS base FROM e)"
-
-
-def _base(rows):
-    return rows.select("item_id", F.when(F.col("item_id") % 4 == 0, None).when(F.col("rank").isNull(), 5).otherwise(F.col("item_id") % 6 + 1).alias("base"))
-
-
-@query(_DIFF + " SELECT item_id, rank - base AS delta, CASE WHEN base IS NULL AND rank IS NULL THEN 'unchanged' WHEN base IS NULL THEN 'improved' WHEN rank IS NULL THEN 'regressed' WHEN rank < base THEN 'improved' WHEN rank > base THEN 'regressed' ELSE 'unchanged' END AS status FROM e JOIN b USING (item_id)")
-def eval_diff(spark: SparkSession, sf: str) -> DataFrame:
-    e = _ranks(spark, sf)
-    b, r = F.col("base"), F.col("rank")
-    status = F.when(b.isNull() & r.isNull(), "unchanged").when(b.isNull(), "improved").when(r.isNull(), "regressed").when(r < b, "improved").when(r > b, "regressed").otherwise("unchanged")
-    return e.join(_base(e), "item_id", "full").select("item_id", (r - b).alias("delta"), status.alias("status"))
-
-
-@query(_DIFF + " SELECT item_id, CASE WHEN base IS NULL AND rank IS NULL THEN 0 WHEN base IS NULL THEN 99 WHEN rank IS NULL THEN -99 ELSE base - rank END AS rank_delta FROM e JOIN b USING (item_id)")
-def eval_mode_compare(spark: SparkSession, sf: str) -> DataFrame:
-    e = _ranks(spark, sf)
-    b, r = F.col("base"), F.col("rank")
-    return e.join(_base(e), "item_id").select("item_id", F.when(b.isNull() & r.isNull(), 0).when(b.isNull(), 99).when(r.isNull(), -99).otherwise(b - r).alias("rank_delta"))
-
-
-@query(_RANKS + ", t AS (SELECT tag, count(*) FILTER (rank <= 5) / count(*) * 0.4 + sum(CASE WHEN rank IS NULL THEN 0 ELSE 1.0 / rank END) / count(*) * 0.3 AS score FROM e GROUP BY tag) SELECT tag AS winner, round(score, 6) AS score FROM t ORDER BY score DESC, tag LIMIT 1")
-def eval_config_winner(spark: SparkSession, sf: str) -> DataFrame:
-    r, n = F.col("rank"), F.count("*")
-    t = _ranks(spark, sf).groupBy("tag").agg((F.count_if(r <= 5) / n * 0.4 + F.sum(F.when(r.isNull(), 0.0).otherwise(1.0 / r)) / n * 0.3).alias("score"))
-    return t.orderBy(F.desc("score"), "tag").limit(1).select(F.col("tag").alias("winner"), F.round("score", 6).alias("score"))
-
-
 @query("WITH r AS (SELECT o_orderkey AS run_id, o_orderkey % 50 = 0 AS protected, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS pos FROM orders) SELECT run_id FROM r WHERE NOT protected AND pos > 3")
 def eval_retention(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
