@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import tokens
-from ..operators import acl, chunking, retrieval as R
+from ..operators import acl, answer_cache, chunking, conflicts as C, retrieval as R
 from . import kb
 
 QUERIES, SQL = {}, {}
@@ -116,22 +116,85 @@ def subquery_merge(spark: SparkSession, sf: str) -> DataFrame:
     return R.merge_lists(lists).select("chunk_id", "list_no", "score")
 
 
-@query(f"""WITH h AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, {_DIST.format(a='q.embedding', b='v.embedding')} AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM h) SELECT query_id, chunk_id, round(1 - distance, 6) AS similarity FROM r WHERE rank = 1 AND 1 - distance >= 0.3""")
-def near_dup(spark: SparkSession, sf: str) -> DataFrame:
-    """Nearest other chunk of the stated query set, every row whose id is divisible by 20, against all rows."""
+#: New versions of every chunk whose id is divisible by 20: its vector with a share of the next one's.
+_SHARES = [0.0, 0.1, 0.2, 0.4, 0.5]
+_REVISED = f"""WITH q AS (SELECT a.vec_id AS query_id, list_transform(list_zip(a.embedding::DOUBLE[], coalesce(b.embedding, a.embedding)::DOUBLE[]), lambda p: p[1] * (1 - {_SHARES}[a.vec_id // 20 % 5 + 1]) + p[2] * {_SHARES}[a.vec_id // 20 % 5 + 1]) AS vector
+  FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 20 = 0),
+h AS (SELECT query_id, v.vec_id AS chunk_id, {_DIST.format(a='q.vector', b='v.embedding')} AS distance FROM q, embeddings v),
+n AS (SELECT query_id, chunk_id, round(1 - distance, 6) AS similarity FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) = 1)"""
+
+
+def _revised(spark, sf):
     v = _vectors(spark, sf)
-    near = R.knn(v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), v, 2).where("chunk_id <> query_id")
-    first = near.groupBy("query_id").agg(F.min_by(F.struct("chunk_id", "distance"), "rank").alias("b"))
-    return first.where("1 - b.distance >= 0.3").select("query_id", F.col("b.chunk_id").alias("chunk_id"), F.round(1 - F.col("b.distance"), 6).alias("similarity"))
+    share = F.element_at(F.array(*map(F.lit, _SHARES)), (F.floor(F.col("chunk_id") / 20) % 5 + 1).cast("int"))
+    rows = v.where("chunk_id % 20 = 0").join(v.select((F.col("chunk_id") - 1).alias("chunk_id"), F.col("vector").alias("next")), "chunk_id", "left").withColumn("share", share)
+    mixed = F.zip_with("vector", F.coalesce("next", "vector"), lambda x, y: x.cast("double") * (1 - F.col("share")) + y.cast("double") * F.col("share"))
+    return rows.select(F.col("chunk_id").alias("query_id"), mixed.alias("vector"))
+
+
+def _conflicts(spark, sf):
+    new = _revised(spark, sf).select((F.col("query_id") + _NEW).alias("chunk_id"), "vector")
+    return C.detect(new, _vectors(spark, sf))
+
+
+@query(_REVISED + " SELECT query_id, chunk_id, similarity FROM n WHERE similarity >= 0.92")
+def near_dup(spark: SparkSession, sf: str) -> DataFrame:
+    """Conflicts of the new versions with what is indexed."""
+    return _conflicts(spark, sf).select((F.col("new_id") - _NEW).alias("query_id"), F.col("old_id").alias("chunk_id"), "similarity")
+
+
+#: Ids of new chunks.
+_NEW = 10**12
+_REVIEWED = _REVISED + f""", c AS (SELECT query_id + {_NEW} AS new_id, chunk_id AS old_id, similarity, query_id % 30 AS new_at, chunk_id * 7 % 30 AS old_at, query_id // 20 % 6 AS k FROM n WHERE similarity >= 0.92),
+w AS (SELECT *, CASE k WHEN 0 THEN 'keep_new' WHEN 1 THEN 'keep_old' WHEN 2 THEN 'keep_both' WHEN 3 THEN 'auto_recency' WHEN 5 THEN 'keep_new' END AS wished FROM c),
+x AS (SELECT *, CASE WHEN wished = 'auto_recency' THEN CASE WHEN new_at >= old_at THEN 'keep_new' ELSE 'keep_old' END ELSE wished END AS resolution FROM w)"""
+
+
+def _review(spark, sf):
+    """Conflicts with their times, and decisions: every sixth has none, every sixth two, the later one first in the table."""
+    found = _conflicts(spark, sf)
+    found = found.withColumn("new_at", F.col("new_id") % 30).withColumn("old_at", F.col("old_id") * 7 % 30)
+    k = F.floor((F.col("new_id") - _NEW) / 20) % 6
+    one = lambda r, at: F.struct(F.lit(at).alias("at"), F.lit(r).alias("resolution"))
+    wished = F.when(k == 0, F.array(one("keep_new", 1))).when(k == 1, F.array(one("keep_old", 1))).when(k == 2, F.array(one("keep_both", 1))).when(k == 3, F.array(one("auto_recency", 1), one("drop_all", 0))).when(k == 5, F.array(one("keep_old", 2), one("keep_new", 1)))
+    decisions = found.select("new_id", F.posexplode(wished).alias("pos", "d")).select("new_id", (F.col("new_id") * 10 + F.col("pos")).alias("decision_id"), "d.at", "d.resolution")
+    return found, decisions
 
 
-@query(f"""WITH h AS (SELECT q.vec_id AS query_id, v.vec_id AS entry_id, {_DIST.format(a='q.embedding', b='v.embedding')} AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND v.vec_id % 3 <> 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, entry_id) AS k FROM h) SELECT query_id, entry_id, round(1 - distance, 6) AS similarity FROM r WHERE k = 1 AND 1 - distance >= 0.25""")
+@query(_REVIEWED + " SELECT new_id, old_id, similarity, CASE WHEN wished IS NULL THEN 'pending' ELSE 'resolved_' || wished END AS status, resolution, CASE resolution WHEN 'keep_new' THEN old_id WHEN 'keep_old' THEN new_id END AS suppressed FROM x")
+def conflict_review(spark: SparkSession, sf: str) -> DataFrame:
+    return C.resolve(*_review(spark, sf))
+
+
+@query(_REVIEWED + " SELECT new_id * 10 + 1 AS decision_id, 'invalid' AS reason FROM c WHERE k = 3 UNION ALL SELECT new_id * 10, 'already_resolved' FROM c WHERE k = 5")
+def conflict_refused(spark: SparkSession, sf: str) -> DataFrame:
+    return C.refused(*_review(spark, sf))
+
+
+@query(_REVISED + " SELECT query_id, chunk_id AS entry_id, similarity FROM n WHERE similarity >= 0.95")
 def cache_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    v = _vectors(spark, sf)
-    hit = R.knn(v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), v.where("chunk_id % 3 <> 0"), 1)
-    return hit.where("1 - distance >= 0.25").select("query_id", F.col("chunk_id").alias("entry_id"), F.round(1 - F.col("distance"), 6).alias("similarity"))
+    """The best entry of 0.95 or more for every revised vector; ``cache_actions`` has the whole life of a cache."""
+    hit = R.knn(_revised(spark, sf), _vectors(spark, sf), 1)
+    return hit.where("1 - distance >= 0.95").select("query_id", F.col("chunk_id").alias("entry_id"), F.round(1 - F.col("distance"), 6).alias("similarity"))
+
+
+def _cache(spark, sf):
+    """Events ask with one of a hundred vectors; some say that the index was built anew. Entries live three days, a knowledge base holds fifty."""
+    e = kb.table(spark, sf, "events").select("event_id", "ts", "user_id", F.col("event_type").alias("kb"), F.get_json_object("props", "$.k").cast("long").alias("chunk_id"))
+    kind = F.when((F.col("chunk_id") == 0) & (F.col("user_id") % 10 == 0), "invalidate").otherwise("ask")
+    asked = e.join(_vectors(spark, sf), "chunk_id", "left").select("kb", "event_id", "ts", kind.alias("kind"), "vector")
+    return answer_cache.replay(asked, 0.95, 3 * 86_400, 50)
+
+
+@query()
+def cache_actions(spark: SparkSession, sf: str) -> DataFrame:
+    """What every event does to its knowledge base's cache: state that SQL can't carry, so a plain replay is the test."""
+    return _cache(spark, sf)
+
+
+@query()
+def cache_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return answer_cache.summary(_cache(spark, sf))
 
 
 @query("SELECT vec_id FROM embeddings ORDER BY vec_id DESC OFFSET 100")

@@ -171,3 +171,23 @@ def test_detect_finds_the_nearest_other(spark):
     got = {r.new_id: (r.old_id, r.similarity) for r in conflicts.detect(df.where("chunk_id IN (2, 9)"), df).collect()}
     best = max((j for j, _ in v if j != 2), key=lambda j: np.dot(v[2][1], dict(v)[j]) / np.linalg.norm(dict(v)[j]))
     assert list(got) == [2] and got[2][0] == best and got[2][1] > conflicts.THRESHOLD
+
+
+def test_queries_equal_plain_cache(spark):
+    import json
+
+    import duckdb
+
+    from corpusmill.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    vectors = dict(con.execute(f"SELECT vec_id, embedding FROM '{sf}/embeddings.parquet'").fetchall())
+    events = []
+    for event_id, ts, user_id, kb, props in con.execute(f"SELECT event_id, ts, user_id, event_type, props FROM '{sf}/events.parquet'").fetchall():
+        k = json.loads(props)["k"]
+        events.append((kb, event_id, ts.replace(tzinfo=timezone.utc), "invalidate" if k == 0 and user_id % 10 == 0 else "ask", vectors.get(k)))
+    want = plain_cache(events, 0.95, 3 * 86_400, 50)
+    assert plain(queries()["cache_actions"](spark, sf).collect()) == sorted(want, key=repr)
+    assert {r[2] for r in want} >= {"hit", "store", "expire"}
+    assert sum(r.hits for r in queries()["cache_summary"](spark, sf).collect()) == sum(r[2] == "hit" for r in want)
