@@ -80,7 +80,7 @@ def contains_join(patterns: DataFrame, texts: DataFrame, whole_words: bool = Fal
         known = small(runs.select("run").distinct())
         hashed = held.select("text_id", _hashes(_words(F.col("text"))).alias("h"))
         every = F.array_distinct(F.flatten(F.array(*(_runs(F.col("h"), k) for k in sizes))))
-        postings = materialize(hashed.select("text_id", F.explode(every).alias("run")).join(known, "run", "left_semi"), "postings")
+        postings = materialize(hashed.select("text_id", F.explode_outer(every).alias("run")).join(known, "run", "left_semi"), "postings")
         common = postings.groupBy("run").agg(F.count("*").alias("texts"))
         # A run that no text has leaves its pattern without candidates.
         rarest = runs.join(common, "run", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "run")).alias("best")).where("best.texts > 0").select("needle", "best.run")

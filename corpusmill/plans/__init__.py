@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, arrow, base, evaluation, graph, lifecycle, search
+from . import analytics, arrow, base, evaluation, graph, lifecycle, nested, search
 
-_MODULES = [base, search, analytics, evaluation, graph, lifecycle, arrow]
+_MODULES = [base, search, analytics, evaluation, graph, lifecycle, nested, arrow]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

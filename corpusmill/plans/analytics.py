@@ -179,15 +179,6 @@ def run_compare(spark: SparkSession, sf: str) -> DataFrame:
     return both.withColumn("same", F.col("a").eqNullSafe(F.col("b")))
 
 
-@query("SELECT p_partkey, field, a, b FROM (SELECT p_partkey, unnest(['name', 'size']) AS field, unnest([p_name, CAST(p_size AS VARCHAR)]) AS a, unnest([CASE WHEN p_partkey % 5 = 0 THEN upper(p_name) ELSE p_name END, CAST(p_size + p_partkey % 2 AS VARCHAR)]) AS b FROM part) WHERE a IS DISTINCT FROM b")
-def state_diff(spark: SparkSession, sf: str) -> DataFrame:
-    p = kb.table(spark, sf, "part")
-    flat = lambda name, size, x: p.select("p_partkey", F.expr(f"stack(2, 'name', {name}, 'size', {size}) AS (field, {x})"))
-    a = flat("p_name", "CAST(p_size AS string)", "a")
-    b = flat("CASE WHEN p_partkey % 5 = 0 THEN upper(p_name) ELSE p_name END", "CAST(p_size + p_partkey % 2 AS string)", "b")
-    return a.join(b, ["p_partkey", "field"], "full").where(~F.col("a").eqNullSafe(F.col("b")))
-
-
 @query("WITH m(ext, task) AS (SELECT * FROM (VALUES ('md'), ('pdf'), ('csv')) e(ext), (VALUES ('clean'), ('chunk'), ('embed')) t(task)) SELECT ext, task, CASE WHEN ext = 'pdf' AND task = 'clean' THEN 'pdf.clean.custom' WHEN task <> 'embed' THEN '*.' || task || '.default' ELSE 'fallback' END AS profile FROM m")
 def profile_matrix(spark: SparkSession, sf: str) -> DataFrame:
     exts, tasks = spark.createDataFrame([("md",), ("pdf",), ("csv",)], "ext string"), spark.createDataFrame([("clean",), ("chunk",), ("embed",)], "task string")
