@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
 from ..functions.vectors import blend, cosine_distance
-from ..operators import acl, chunking, versions as V
+from ..operators import acl, chunking, crawl, versions as V
 from . import kb
 
 QUERIES, SQL = {}, {}
@@ -338,13 +338,37 @@ def html_regex_text(spark: SparkSession, sf: str) -> DataFrame:
     return kb.table(spark, sf, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]+>", ""), r"\s+", " ")).alias("body"))
 
 
-@query("""SELECT DISTINCT page_id, link FROM (SELECT page_id, url, regexp_extract(url, '^(https?://[^/]+)', 1) AS site, unnest(regexp_extract_all(html, '(?i)<a[^>]+href=["'']([^"'']+)["'']', 1)) AS href FROM pages), LATERAL (SELECT regexp_replace(CASE WHEN href LIKE 'http%' THEN href WHEN href LIKE '/%' THEN site || href ELSE NULL END, '#.*$', '') AS link) WHERE NOT (href LIKE '#%' OR href LIKE 'mailto:%' OR href LIKE 'javascript:%') AND regexp_extract(link, '^(https?://[^/]+)', 1) = site""")
+@query("""SELECT DISTINCT page_id, link FROM (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS site, unnest(regexp_extract_all(html, '(?i)<a[^>]+href=["'']([^"'']+)["'']', 1)) AS href FROM pages),
+LATERAL (SELECT regexp_replace(CASE WHEN href LIKE 'http%' THEN href WHEN href LIKE '/%' THEN site || href ELSE regexp_extract(url, '^(https?://[^?#]*/)', 1) || href END, '#.*$', '') AS link) WHERE NOT (href LIKE '#%' OR href LIKE 'mailto:%' OR href LIKE 'javascript:%') AND regexp_extract(link, '^(https?://[^/?#]+)', 1) = site""")
 def web_links(spark: SparkSession, sf: str) -> DataFrame:
-    p = kb.table(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"^(https?://[^/]+)", 1).alias("site"), F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)<a[^>]+href=["']([^"']+)["']"""), F.lit(1))).alias("href"))
-    p = p.where("NOT (href LIKE '#%' OR href LIKE 'mailto:%' OR href LIKE 'javascript:%')")
-    whole = F.when(F.col("href").like("http%"), F.col("href")).when(F.col("href").like("/%"), F.concat("site", "href"))
-    p = p.withColumn("link", F.regexp_replace(whole, "#.*$", ""))
-    return p.where(F.regexp_extract("link", r"^(https?://[^/]+)", 1) == F.col("site")).select("page_id", "link").distinct()
+    """Links of every page that stay at its origin, relative ones resolved."""
+    p = kb.table(spark, sf, "pages").select("page_id", "url", "html")
+    resolved = crawl.links(crawl.hrefs(p).select(F.col("page").alias("url"), "href")).distinct()
+    return p.select("page_id", "url").distinct().join(resolved, "url").select("page_id", "link").distinct()
+
+
+_CRAWL = """WITH RECURSIVE p AS (SELECT url, any_value(html) AS html, split_part(url, '/', 3) AS host, split_part(url, '/', 1) || '//' || split_part(url, '/', 3) AS site FROM pages GROUP BY url),
+h AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY url) - 1 AS k, count(*) OVER (PARTITION BY host) AS n, row_number() OVER (PARTITION BY host ORDER BY url) = 1 AS seed FROM p),
+e AS (SELECT DISTINCT url, site || href AS link FROM (SELECT url, site, unnest(regexp_extract_all(html, '(?i)<a[^>]+href=["'']([^"'']+)["'']', 1)) AS href FROM p)),
+r AS (SELECT DISTINCT link, t.url AS page FROM e JOIN h t ON t.host = split_part(link, '/', 3) AND t.k = length(link) % t.n),
+v(url, page, depth) AS (
+  SELECT url, url, 1 FROM h WHERE seed
+  UNION SELECT e.link, r.page, depth + 1 FROM v JOIN p ON p.url = v.page JOIN LATERAL (SELECT DISTINCT split_part(v.url, '/', 1) || '//' || split_part(v.url, '/', 3) || x.href AS link FROM (SELECT unnest(regexp_extract_all(p.html, '(?i)<a[^>]+href=["'']([^"'']+)["'']', 1)) AS href) x) e ON TRUE
+    LEFT JOIN r ON r.link = e.link WHERE depth < 4 AND NOT contains(v.url, 'los'))
+SELECT url, min(depth) AS depth, CASE WHEN contains(url, 'los') THEN 'excluded' WHEN any_value(page) IS NOT NULL THEN 'fetched' ELSE 'missing' END AS status FROM v GROUP BY url"""
+
+
+@query(_CRAWL)
+def crawl_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A crawl of four steps from the first page of every host. The pages' links name no page, so a site's router, by the link's length, redirects them to one of its own."""
+    p = kb.table(spark, sf, "pages").groupBy("url").agg(F.any_value("html").alias("html"))
+    host = F.split_part("url", F.lit("/"), F.lit(3))
+    site = F.concat(F.split_part("url", F.lit("/"), F.lit(1)), F.lit("//"), host)
+    own = Window.partitionBy("host")
+    h = p.select("url", host.alias("host")).withColumn("k", F.row_number().over(own.orderBy("url")) - 1).withColumn("n", F.count("*").over(own))
+    linked = crawl.hrefs(p).select(F.col("page").alias("url"), "href").select(F.concat(site, "href").alias("url")).distinct().withColumn("host", host)
+    to = linked.join(h.select("host", F.col("n")).distinct(), "host").withColumn("k", F.length("url") % F.col("n")).join(h.select("host", "k", F.col("url").alias("to")), ["host", "k"]).select("url", "to")
+    return crawl.crawl(p, h.where("k = 0").select("url"), 4, exclude=["*los*"], redirects=to)
 
 
 @query("SELECT event_id, 'k: ' || json_extract_string(props, '$.k') AS line FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
