@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..operators import quantiles
 from . import kb
 
 QUERIES, SQL = {}, {}
@@ -74,9 +75,18 @@ def budget_latch(spark: SparkSession, sf: str) -> DataFrame:
     return r.where("spent >= 0.5").groupBy("user_id").agg(F.min("day").alias("alert_day"))
 
 
-@query(kb.USAGE + "SELECT operation, count(*) AS n, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95 FROM u GROUP BY operation")
+_LATENCY = "count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(round(sum(cost), 8) AS DOUBLE) AS cost, round(sum(latency_ms), 3) AS latency_ms, round(quantile_cont(latency_ms, 0.5), 3) AS p50, round(quantile_cont(latency_ms, 0.95), 3) AS p95"
+
+
+@query(kb.USAGE + f"SELECT 'all' AS side, 'all' AS name, {_LATENCY} FROM u UNION ALL SELECT 'operation', operation, {_LATENCY} FROM u GROUP BY operation UNION ALL SELECT 'model', coalesce(role, 'unknown'), {_LATENCY} FROM u GROUP BY role")
 def cost_latency(spark: SparkSession, sf: str) -> DataFrame:
-    return kb.usage(spark, sf).groupBy("operation").agg(F.count("*").alias("n"), F.round(F.percentile("latency_ms", 0.5), 6).alias("p50"), F.round(F.percentile("latency_ms", 0.95), 6).alias("p95"))
+    """Sums and exact interpolated percentiles of all usage, by operation and by model (here the role)."""
+    u = kb.usage(spark, sf)
+    sides = F.array(*(F.struct(F.lit(side).alias("side"), name.alias("name")) for side, name in (("all", F.lit("all")), ("operation", F.col("operation")), ("model", F.coalesce("role", F.lit("unknown"))))))
+    rows = u.select(F.explode(sides).alias("s"), "tokens", "cost", "latency_ms").select("s.*", "tokens", "cost", "latency_ms")
+    sums = rows.groupBy("side", "name").agg(F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 8).cast("double").alias("cost"), F.round(F.sum("latency_ms"), 3).alias("latency_ms"))
+    at = quantiles.percentiles(rows, ["side", "name"], "latency_ms", {"p50": 0.5, "p95": 0.95})
+    return sums.join(at.select("side", "name", "n", F.round("p50", 3).alias("p50"), F.round("p95", 3).alias("p95")), ["side", "name"])
 
 
 @query("SELECT o_orderkey AS run_id, o_orderstatus AS status, c_name AS source FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_mktsegment = 'BUILDING'")
@@ -151,14 +161,27 @@ def feedback_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return kb.table(spark, sf, "labels").groupBy((F.col("quality") - F.col("toxic")).alias("rating")).agg(F.count("*").alias("n"))
 
 
-@query("WITH s AS (SELECT event_type AS mode, list(value ORDER BY value) AS v FROM events GROUP BY 1) SELECT mode, round(v[1], 6) AS low, round(v[len(v)], 6) AS high, round(v[len(v) // 2 + 1], 6) AS p50, round(v[CAST(floor(len(v) * 0.95) AS BIGINT) + 1], 6) AS p95 FROM s")
+_NEAREST = "count(*) AS n, min(value) AS low, max(value) AS high, avg(value) AS mean, list(value ORDER BY value)[count(*) // 2 + 1] AS p50, list(value ORDER BY value)[least(CAST(floor(count(*) * 0.95::DOUBLE) AS BIGINT), count(*) - 1) + 1] AS p95"
+
+
+def _bench(events):
+    return quantiles.percentiles(events.select(F.col("event_type").alias("mode"), "value"), ["mode"], "value", {"p50": 0.5, "p95": 0.95}, nearest=True)
+
+
+@query(f"SELECT mode, n, round(low, 3) AS low, round(high, 3) AS high, round(mean, 3) AS mean, round(p50, 3) AS p50, round(p95, 3) AS p95 FROM (SELECT event_type AS mode, {_NEAREST} FROM events GROUP BY 1)")
 def bench_stats(spark: SparkSession, sf: str) -> DataFrame:
-    """Nearest-rank percentiles from counts of distinct values, so no group is gathered in one row."""
-    e = kb.table(spark, sf, "events").select(F.col("event_type").alias("mode"), "value").groupBy("mode", "value").agg(F.count("*").alias("c"))
-    n = e.groupBy("mode").agg(F.sum("c").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-    r = e.withColumn("upto", F.sum("c").over(Window.partitionBy("mode").orderBy("value"))).join(F.broadcast(n), "mode")
-    pick = lambda k: F.round(F.min(F.when(F.col("upto") > k, F.col("value"))), 6)
-    return r.groupBy("mode").agg(F.round(F.first("low"), 6).alias("low"), F.round(F.first("high"), 6).alias("high"), pick(F.floor(F.col("n") / 2)).alias("p50"), pick(F.floor(F.col("n") * 0.95)).alias("p95"))
+    """Nearest-rank percentiles by selection, so no group is gathered in one row."""
+    return _bench(kb.table(spark, sf, "events")).select("mode", "n", *(F.round(c, 3).alias(c) for c in ("low", "high", "mean", "p50", "p95")))
+
+
+@query(f"""WITH s AS (SELECT event_type AS mode, ts >= TIMESTAMP '2024-01-16' AS late, {_NEAREST} FROM events GROUP BY 1, 2),
+c AS (SELECT a.mode, (a.p50 - b.p50) / b.p50 * 100 AS p50, (a.p95 - b.p95) / b.p95 * 100 AS p95, a.n - b.n AS d FROM s a JOIN s b ON a.mode = b.mode AND a.late AND NOT b.late)
+SELECT mode, round(p50, 4) AS p50_pct, round(p95, 4) AS p95_pct, d AS count_delta, CASE WHEN p50 > 20 OR p95 > 20 OR abs(d) > 50 THEN 'fail' ELSE 'pass' END AS status FROM c""")
+def bench_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """The second half of the month against the first."""
+    e = kb.table(spark, sf, "events")
+    late = F.col("ts") >= F.expr("timestamp_ntz'2024-01-16 00:00:00'")
+    return quantiles.compare(_bench(e.where(late)), _bench(e.where(~late)), "mode", drift=50)
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_type = (SELECT min(event_type) FROM events) AND ts >= TIMESTAMP '2024-01-03' AND ts <= TIMESTAMP '2024-01-25' ORDER BY ts DESC, event_id DESC LIMIT 20 OFFSET 40")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
 from ..functions.vectors import blend, cosine_distance
-from ..operators import acl, chunking, crawl, versions as V
+from ..operators import acl, chunking, crawl, ordered, versions as V
 from . import kb
 
 QUERIES, SQL = {}, {}
@@ -34,7 +34,8 @@ def latest_versions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS version_number FROM documents")
 def version_numbering(spark: SparkSession, sf: str) -> DataFrame:
-    return V.number(kb.table(spark, sf, "documents").select("source", "doc_id"), "source", ["doc_id"])
+    """Numbers by ranges, so that a source of all rows is spread over tasks."""
+    return ordered.number(kb.table(spark, sf, "documents").select("source", "doc_id"), ["source"], ["doc_id"], "version_number")
 
 
 @query(kb.VERSIONS + f"SELECT doc_id, {_ACL_SQL} AS reason FROM v")
@@ -265,7 +266,7 @@ def export_versions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT kb, batch, count(*) AS n, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS digest FROM (SELECT lang AS kb, doc_id, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 64 AS batch FROM documents) GROUP BY kb, batch")
 def export_batches(spark: SparkSession, sf: str) -> DataFrame:
-    d = kb.table(spark, sf, "documents").select(F.col("lang").alias("kb"), "doc_id", F.expr("(row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) div 64").alias("batch"))
+    d = ordered.batches(kb.table(spark, sf, "documents").select(F.col("lang").alias("kb"), "doc_id"), ["kb"], ["doc_id"], 64)
     ids = F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string"))
     return d.groupBy("kb", "batch").agg(F.count("*").alias("n"), F.sha2(F.array_join(ids, ","), 256).alias("digest"))
 
@@ -428,7 +429,7 @@ def embed_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(kb.VERSIONS + "SELECT kb, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY CAST(doc_id AS VARCHAR))) AS fingerprint FROM v GROUP BY kb")
 def fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    return kb.versions(spark, sf).groupBy("kb").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("doc_id").cast("string"))), "\n"), 256).alias("fingerprint"))
+    return ordered.sorted_digest(kb.versions(spark, sf), ["kb"], "doc_id")
 
 
 @query(_LATEST + ", s AS (SELECT kb, count(DISTINCT source) AS sources, count(DISTINCT document_id) AS documents FROM l GROUP BY kb), c AS (SELECT kb, sum(greatest(CAST(ceil((length(text) - 50) / 450.0) AS BIGINT), 1)) AS chunks FROM l WHERE length(text) > 0 GROUP BY kb) SELECT kb, sources, documents, CAST(coalesce(chunks, 0) AS BIGINT) AS chunks FROM s LEFT JOIN c USING (kb)")
