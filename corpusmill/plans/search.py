@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import tokens
-from ..operators import acl, answer_cache, chunking, conflicts as C, retrieval as R
+from ..operators import acl, ann, answer_cache, chunking, conflicts as C, retrieval as R
 from . import kb
 
 QUERIES, SQL = {}, {}
@@ -254,3 +254,21 @@ def summary_search(spark: SparkSession, sf: str) -> DataFrame:
     summaries = R.knn(q, v.where("chunk_id % 3 = 0"), 5).select("query_id", document)
     more = summaries.join(hits, ["query_id", "document_id"], "left_anti")
     return hits.withColumn("kind", F.lit("chunk")).unionByName(more.withColumn("kind", F.lit("summary")))
+
+
+def _inverted(spark, sf, k):
+    v = _vectors(spark, sf)
+    fitted = ann.fit(v, k)
+    return ann.search(v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), ann.build(v, fitted), fitted, k)
+
+
+@query()
+def knn_ivf(spark: SparkSession, sf: str) -> DataFrame:
+    """``knn_dense`` by the inverted file: approximate, so its test is its recall."""
+    return _inverted(spark, sf, 5).select("query_id", "chunk_id", "distance", "rank")
+
+
+@query("SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def knn_ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the inverted file finds nine of ten exact neighbours of every row whose id is divisible by 20."""
+    return ann.recall(_inverted(spark, sf, 5), _nearest(spark, sf, 5)).select("queries", (F.col("recall") >= 0.9).alias("enough"))
