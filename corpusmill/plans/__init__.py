@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, arrow, base, evaluation, exports, graph, lifecycle, nested, search
+from . import analytics, arrow, base, drift, evaluation, exports, graph, lifecycle, nested, search
 
-_MODULES = [base, search, analytics, evaluation, exports, graph, lifecycle, nested, arrow]
+_MODULES = [base, search, analytics, evaluation, exports, drift, graph, lifecycle, nested, arrow]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
