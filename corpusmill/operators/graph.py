@@ -98,19 +98,31 @@ def merge(base: DataFrame, graph: DataFrame, weight: float = 0.35) -> DataFrame:
     return both.withColumn("merged", F.round(F.when(F.col("base").isNull(), F.col("score")).when(F.col("score").isNull(), F.col("base")).otherwise(blend), 6))
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    """``document_id, name, df, first``: each document's names, with the number of documents that have it and the first of them."""
+    d = rows.select("document_id", "name").distinct()
+    return d.join(d.groupBy("name").agg(F.count("*").alias("df"), F.min("document_id").alias("first")), "name")
+
+
 def document_links(rows: DataFrame) -> DataFrame:
-    """Documents that share names: ``left_id, right_id, shared, strength`` (Jaccard).
+    """Documents that share names: ``left_id, right_id, shared, strength`` (Jaccard), both counted on all names of either.
 
-    A name in at most ``PAIRED`` documents links all of them; a more common one links each to
-    its first document, which keeps the name's membership without the square of its size.
+    A name in at most ``PAIRED`` documents pairs all of them; a more common one pairs each with its
+    first document. Pairs of documents that share common names alone are left to ``common_names``,
+    whose memberships hold every link that isn't a pair here.
     """
-    d = rows.select("document_id", "name").distinct()
-    n = d.groupBy("document_id").agg(F.count("*").alias("n"))
-    size = d.groupBy("name").agg(F.count("*").alias("df"), F.min("document_id").alias("first"))
-    sized = d.join(size, "name")
-    a, b = sized.where(F.col("df") <= PAIRED).select(F.col("document_id").alias("left_id"), "name"), sized.where(F.col("df") <= PAIRED).select(F.col("document_id").alias("right_id"), "name")
-    p = a.join(b, "name").where("left_id < right_id").select("left_id", "right_id", "name")
-    p = p.unionByName(sized.where((F.col("df") > PAIRED) & (F.col("document_id") > F.col("first"))).select(F.col("first").alias("left_id"), F.col("document_id").alias("right_id"), "name"))
-    p = p.groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
-    p = p.join(n.select(F.col("document_id").alias("left_id"), F.col("n").alias("nl")), "left_id").join(n.select(F.col("document_id").alias("right_id"), F.col("n").alias("nr")), "right_id")
-    return p.withColumn("strength", F.round(F.col("shared") / (F.col("nl") + F.col("nr") - F.col("shared")), 4))
+    sized = _sized(rows)
+    rare = lambda c: sized.where(F.col("df") <= PAIRED).select(F.col("document_id").alias(c), "name")
+    p = rare("left_id").join(rare("right_id"), "name").where("left_id < right_id").select("left_id", "right_id")
+    hub = sized.where((F.col("df") > PAIRED) & (F.col("document_id") > F.col("first"))).select(F.col("first").alias("left_id"), F.col("document_id").alias("right_id"))
+    p = p.unionByName(hub).distinct()
+    own = rows.groupBy("document_id").agg(F.collect_set("name").alias("names"))  # a few names for each of a document's texts
+    side = lambda c: own.select(F.col("document_id").alias(f"{c}_id"), F.col("names").alias(c))
+    p = p.join(side("left"), "left_id").join(side("right"), "right_id")
+    shared = F.size(F.array_intersect("left", "right"))
+    return p.select("left_id", "right_id", shared.cast("long").alias("shared"), F.round(shared / (F.size("left") + F.size("right") - shared), 4).alias("strength"))
+
+
+def common_names(rows: DataFrame) -> DataFrame:
+    """``name, document_id, df``: members of each name in more than ``PAIRED`` documents; any two of a name are linked by it."""
+    return _sized(rows).where(F.col("df") > PAIRED).select("name", "document_id", "df")

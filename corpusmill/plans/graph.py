@@ -104,9 +104,10 @@ def graph_merge(spark: SparkSession, sf: str) -> DataFrame:
     return G.merge(base, graph_chunks(spark, sf)).select("chunk_id", "merged")
 
 
-_DOCS = _M + f""", de AS (SELECT DISTINCT document_id, name FROM m), dn AS (SELECT document_id, count(*) AS n FROM de GROUP BY 1), z AS (SELECT name, count(*) AS df, min(document_id) AS first FROM de GROUP BY 1), sz AS (SELECT * FROM de JOIN z USING (name)),
-pn AS (SELECT a.document_id AS left_id, b.document_id AS right_id FROM sz a JOIN sz b ON a.name = b.name AND a.document_id < b.document_id WHERE a.df <= {G.PAIRED} UNION ALL SELECT first, document_id FROM sz WHERE df > {G.PAIRED} AND document_id > first),
-p AS (SELECT left_id, right_id, count(*) AS shared FROM pn GROUP BY 1, 2)"""
+#: Names in more than twenty documents pair each with the first alone.
+_DOCS = _M + """, de AS (SELECT DISTINCT document_id, name FROM m), dn AS (SELECT document_id, count(*) AS n FROM de GROUP BY 1), z AS (SELECT name, count(*) AS df, min(document_id) AS first FROM de GROUP BY 1), sz AS (SELECT * FROM de JOIN z USING (name)),
+pn AS (SELECT a.document_id AS left_id, b.document_id AS right_id FROM sz a JOIN sz b ON a.name = b.name AND a.document_id < b.document_id WHERE a.df <= 20 UNION SELECT first, document_id FROM sz WHERE df > 20 AND document_id > first),
+p AS (SELECT left_id, right_id, count(*) AS shared FROM pn JOIN de a ON a.document_id = left_id JOIN de b ON b.document_id = right_id AND b.name = a.name GROUP BY 1, 2)"""
 
 
 @query(_DOCS + " SELECT left_id, right_id, shared FROM p")
@@ -114,6 +115,12 @@ def doc_shared_entities(spark: SparkSession, sf: str) -> DataFrame:
     return G.document_links(_mentions(spark, sf)).select("left_id", "right_id", "shared")
 
 
+@query(_DOCS + " SELECT name, document_id, df FROM sz WHERE df > 20")
+def doc_common_names(spark: SparkSession, sf: str) -> DataFrame:
+    """The other half of the document links: who is linked by a common name."""
+    return G.common_names(_mentions(spark, sf))
+
+
 @query(_DOCS + " SELECT left_id, right_id, round(shared / (a.n + b.n - shared), 4) AS strength FROM p JOIN dn a ON a.document_id = left_id JOIN dn b ON b.document_id = right_id")
 def kmap_doc_edges(spark: SparkSession, sf: str) -> DataFrame:
     return G.document_links(_mentions(spark, sf)).select("left_id", "right_id", "strength")

@@ -201,3 +201,27 @@ def test_incremental_ingest(spark, tmp_path):
 
     assert put(0, [("a", "1"), ("b", "1")]) == [("a", "1", 1), ("b", "1", 1)]
     assert put(1, [("a", "2"), ("b", "1"), ("c", "1")]) == [("a", "1", 1), ("a", "2", 2), ("b", "1", 1), ("c", "1", 1)]
+
+
+def test_document_links_count_all_names_and_lose_none(spark, monkeypatch):
+    """Every pair of documents that shares a name is a pair with its true counts, or linked by a common name's members."""
+    import itertools
+    import random
+
+    from corpusmill.operators import graph
+
+    monkeypatch.setattr(graph, "PAIRED", 4)
+    rng = random.Random(1)
+    names = {d: {"everyone", *rng.sample([f"n{i}" for i in range(25)], 3)} if d % 5 else {"alone" + str(d)} for d in range(40)}
+    rows = spark.createDataFrame([(d * 10 + k, d, n, 1) for d, held in names.items() for n in held for k in range(2)], "chunk_id long, document_id long, name string, mentions long")
+    got = {(r.left_id, r.right_id): (r.shared, r.strength) for r in graph.document_links(rows).collect()}
+    members = {}
+    for r in graph.common_names(rows).collect():
+        members.setdefault(r.name, set()).add(r.document_id)
+    for a, b in itertools.combinations(range(40), 2):
+        shared = names[a] & names[b]
+        if (a, b) in got:
+            assert got[a, b] == (len(shared), round(len(shared) / len(names[a] | names[b]), 4))
+        else:
+            assert all({a, b} <= members.get(n, set()) for n in shared)
+    assert members["everyone"] == {d for d in range(40) if d % 5}
