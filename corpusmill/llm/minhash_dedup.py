@@ -36,6 +36,8 @@ from .scratch import map_arrow, materialize, small
 
 #: Odds that bands miss a pair at the threshold; coordinates of a signature, if so few do; deviations below the mean for the least agreement of codes.
 MISS, COORDINATES, DEVIATIONS = 1e-6, 128, 7.0
+#: Ratio of the sizes in one band.
+BAND = 1.03
 #: A bucket with at most so many pairs a member across components is compared pair by pair.
 LIGHT = 4
 _FEATURES = "doc_id long, n_shingles long, class_id binary, bands array<long>, c0 long, c1 long, c2 long, c3 long"
@@ -194,13 +196,22 @@ def _rare_pairs(members: DataFrame, texts: DataFrame, classes: DataFrame, percen
     own = _sets_of(classes.select("class_id", "first_id").join(members.select("class_id").distinct(), "class_id"), texts, shingle)
     each = own.select("class_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     ranked = each.join(each.groupBy("s").agg(F.count("*").alias("df")), "s").withColumn("place", F.row_number().over(Window.partitionBy("class_id").orderBy("df", "s")))
-    rare = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).join(members, "class_id").select("s", "class_id", "part", "n", "place")
+    rare = ranked.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).join(members, "class_id")
+    # The first shingle that two sets share leaves at most what follows it in each, so sizes of
+    # (100 + percent) * rest >= percent * (n + other size) alone can qualify. A set whose own size is beyond that
+    # (it shares only what is common to a family) has no partner of its size and isn't joined at all.
+    most = F.floor(((100 + percent) * (1 + F.col("n") - F.col("place")) - percent * F.col("n")) / percent)
+    rare = rare.withColumn("most", most).where(100 * F.col("most") >= percent * F.col("n")).select("s", "class_id", "part", "n", "place", "most")
     rare = materialize(rare, "rare")
-    x, y = rare.alias("x"), rare.alias("y")
-    fits = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    # The first shingle that two sets share leaves at most what follows it in each; a pair that qualifies passes there.
-    fits &= (100 + percent) * (1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))) >= percent * (F.col("x.n") + F.col("y.n"))
-    return x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.class_id") < F.col("y.class_id")) & (F.col("x.part") != F.col("y.part")) & fits).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"))
+    # The smaller set of a pair seeks larger ones by bands of sizes, up to what both allow.
+    band = lambda c: F.floor(F.log(c) / math.log(BAND)).cast("int")
+    end = F.least(F.col("most"), F.floor(100 * F.col("n") / percent))
+    x = rare.where("most >= n").withColumn("band", F.explode(F.sequence(band(F.col("n")), band(end) + 1))).alias("x")
+    y = rare.withColumn("band", band(F.col("n"))).alias("y")
+    fits = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.class_id") < F.col("y.class_id")))
+    fits &= (F.col("y.n") <= F.col("x.most")) & (F.col("x.n") <= F.col("y.most")) & (100 * F.col("x.n") >= percent * F.col("y.n"))
+    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.part") != F.col("y.part")) & fits)
+    return pairs.select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct()
 
 
 def _candidates(pairs: DataFrame, classes: DataFrame, percent: int, codes: int) -> DataFrame:
