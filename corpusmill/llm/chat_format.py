@@ -3,7 +3,7 @@
 A template is a function of a list of messages. It is rendered for every prefix of a
 conversation; where an output begins with the one before, the rest is the new turn's span.
 The text inside a span is found black-box as well: the prefix is rendered once more with a
-sentinel character for the turn's text, and what surrounds the sentinel bounds the text.
+sentinel for the turn's text, and what surrounds the sentinel bounds the text.
 A template that changes what it has written (drops old thoughts, moves the system text) is
 detected and the conversation flagged: its turns are then located in the whole output, by a
 sentinel each, and one whose text can't be bounded there has null spans. The loss mask
@@ -73,10 +73,14 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 def _around(messages: list[tuple[str, str]], at: int, out: str, template: Callable[[list[tuple[str, str]]], str]) -> tuple[int, int] | None:
     """Where the text of message ``at`` stands in ``out``, the rendered messages; none if what surrounds it hangs on the text."""
-    sentinel = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in out)
+    # Private-use letters, as many as make a word that the output doesn't hold: of n characters it holds n at most of any length.
+    k, size = 0, 1
+    while (sentinel := "".join(chr(0xE000 + (k >> 12 * i) % 4096) for i in range(size))) in out:
+        k += 1
+        size = 1 if k < 4096 else 2
     marked = template([*messages[:at], (messages[at][0], sentinel), *messages[at + 1 :]])
-    start, size = marked.find(sentinel), len(out) - len(marked) + 1
-    if start < 0 or size < 0 or marked.count(sentinel) != 1 or out[:start] != marked[:start] or out[start + size :] != marked[start + 1 :]:
+    start, size = marked.find(sentinel), len(out) - len(marked) + len(sentinel)
+    if start < 0 or size < 0 or marked.count(sentinel) != 1 or out[:start] != marked[:start] or out[start + size :] != marked[start + len(sentinel) :]:
         return None
     return start, start + size
 

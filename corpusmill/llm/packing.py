@@ -19,6 +19,7 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ BLOCK = 4_000_000
 #: Fixed value: the public split pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SCHEMA = "row_id long, n_tokens long, n_segments long, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, doc_starts array<long>"
+#: A run of blanks beyond this is encoded in parts: whole, longer ones exhaust the stack of the split pattern's matcher.
+LONG = 100_000
 _encoders: dict = {}
 
 
@@ -49,6 +52,18 @@ def encoder(vocabulary: bytes):
     return _encoders[key]
 
 
+def encode(enc, text: str) -> list[int]:
+    """Token ids of a text; they decode to it whatever it holds."""
+    if len(text) < LONG:
+        return enc.encode_ordinary(text)
+    ids, at = [], 0
+    for run in re.finditer(rf"\s{{{LONG},}}", text):
+        for cut in range(run.start(), run.end(), LONG):
+            ids += enc.encode_ordinary(text[at:cut])
+            at = cut
+    return ids + enc.encode_ordinary(text[at:])
+
+
 class Rooms:
     """Open rows by the room left in them, with a segment tree that finds the least room of a size at least."""
 
@@ -129,7 +144,7 @@ def _pack(batches: Iterator[pa.RecordBatch], vocabulary, width: int, block: int)
     made, held, pieces = (context.partitionId() if context else 0) << 32, 0, []
     for batch in batches:
         for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-            ids = enc.encode_ordinary(text.as_py() or "")
+            ids = encode(enc, text.as_py() or "")
             ids.append(end)
             tokens = np.array(ids, kind)
             pieces += [(doc_id.as_py(), at, tokens[at : at + width]) for at in range(0, len(tokens), width)]

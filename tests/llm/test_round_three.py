@@ -319,3 +319,30 @@ def test_query_over_conversations(spark):
             _, _, role, text = rest.pop(0)
             out += [] if edit == "D" else [(role if edit == "K" else asked, text)]
         assert r.repaired_sha256 == sha("\n".join(f"{a}:{b}" for a, b in out)) and (r.blank, r.duplicate, r.truncated) == tuple(map(faults.count, ("blank", "duplicate", "truncated")))
+
+
+# Texts that earlier operators failed on
+
+
+def test_packing_takes_any_run_of_blanks(spark):
+    from corpusmill.llm import packing
+
+    with open(packing.VOCABULARY, "rb") as f:
+        enc = packing.encoder(f.read())
+    texts = [" " * 1_000_000, "a" + "\n \t" * 400_000 + "b", "word " * 2_000_000, " " * 250_000 + "x", "x" * 300_000]
+    for text in texts:
+        assert enc.decode(packing.encode(enc, text)) == text
+    assert packing.encode(enc, "a b\n\n c" * 20_000) == enc.encode_ordinary("a b\n\n c" * 20_000)
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {d for r in got.select("doc_ids").collect() for d in r.doc_ids} == set(range(len(texts)))
+
+
+def test_spans_where_every_private_letter_is_used(spark):
+    from corpusmill.llm import chat_format
+
+    private = "".join(map(chr, range(0xE000, 0xF900)))
+    rows = [(1, 0, "user", private), (1, 1, "assistant", "Fine." + private[::-1]), (2, 0, "user", ""), (2, 1, "assistant", "")]
+    got = {r.conv_id: r for r in chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for conv in (1, 2):
+        want = [t for c, _, _, t in rows if c == conv]
+        assert [chat_format.unescape(got[conv].formatted[s.text_start : s.text_end]) for s in got[conv].spans] == want
