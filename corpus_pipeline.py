@@ -40,10 +40,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group stays: that of the smallest id (a null one comes last). Texts without words are no duplicates."""
-    # Ids may repeat or be null, so rows are numbered in the order of their ids and told apart by that number.
-    rows = materialize(docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).withColumn("__row", F.monotonically_increasing_id()), "rows")
-    gone = materialize(minhash_dedup(rows, "__row").where("not kept").select(F.col("doc_id").alias("gone_row")), "gone")
-    return rows.join(small(gone), F.col("__row") == F.col("gone_row"), "left_anti").drop("__row")
+    # Ids may repeat or be null, so rows get numbers; the written table keeps them, whatever happens to a task that reads it.
+    rows = materialize(docs.withColumns({"__row": F.monotonically_increasing_id(), "__hash": F.xxhash64("text")}), "rows")
+    found = minhash_dedup(rows, "__row").select(F.col("doc_id").alias("__row"), "component_id")
+    named = materialize(found.join(rows.select("__row", "__hash", "doc_id"), "__row"), "named")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "__hash", "__row")
+    stays = named.groupBy("component_id").agg(F.min(first)["__row"].alias("stays"), F.count("*").alias("n")).where("n > 1").select("component_id", "stays")
+    gone = materialize(named.join(stays, "component_id").where("__row <> stays").select(F.col("__row").alias("gone_row")), "gone")
+    return rows.join(small(gone), F.col("__row") == F.col("gone_row"), "left_anti").drop("__row", "__hash")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
