@@ -46,7 +46,8 @@ def match(queries: DataFrame, names: DataFrame, top: int = 8, block: int = 500)
     """
     terms = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[a-z0-9_/-]{3,}"), F.lit(0)))
     q = queries.select("query_id", F.lower("query").alias("said")).select("query_id", "said", F.regexp_replace("said", "[^a-z0-9]+", "").alias("compact"), terms(F.col("said")).alias("asked"))
-    n = names.select("name", aliases(F.col("name")).alias("aliases"), terms(F.col("name")).alias("terms"))
+    width = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # names are few bytes and much work
+    n = names.select("name", aliases(F.col("name")).alias("aliases"), terms(F.col("name")).alias("terms")).repartition(width)
     blocks = max(1, -(-q.count() // block))
     found = None
     for b in range(blocks):
@@ -65,9 +66,11 @@ def entities(rows: DataFrame) -> DataFrame:
 
 
 def pairs(rows: DataFrame, within: str) -> DataFrame:
-    """Pairs of names that share a ``within``; a chunk has at most ``CANDIDATES`` names, so each has a bounded number of pairs."""
-    a, b = rows.select(within, F.col("name").alias("subject")), rows.select(within, F.col("name").alias("object"))
-    return a.join(b, within).where("subject < object")
+    """Pairs of names that share a ``within``, from its set of names (``CANDIDATES`` for each text it has), so nothing is joined."""
+    held = rows.groupBy(within).agg(F.array_sort(F.collect_set("name")).alias("names"))
+    later = lambda i: F.slice("names", i + 2, F.greatest(F.size("names") - i - 1, F.lit(0)))
+    both = F.flatten(F.transform("names", lambda x, i: F.transform(later(i), lambda y: F.struct(x.alias("subject"), y.alias("object")))))
+    return held.select(within, F.explode(both).alias("p")).select(within, "p.*")
 
 
 def relations(rows: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import graph as G
+from ..operators import graph as G, modes
 from . import kb
 
 QUERIES, SQL = {}, {}
@@ -152,3 +152,21 @@ def understand(spark: SparkSession, sf: str) -> DataFrame:
     n = F.size(F.array_remove(F.split("text", r"\s+"), ""))
     lines = F.size(F.split(F.regexp_replace("text", "\n+$", ""), "\n"))
     return kb.table(spark, sf, "documents").where("length(trim(text)) > 0").select("doc_id", F.concat(F.lit("Deterministic summary: "), n, F.lit(" words, "), lines, F.lit(" lines.")).alias("summary"), (n < 20).alias("is_short"))
+
+
+def _search(spark, sf, mode):
+    """Every row whose id is divisible by 20 asks with its text and vector; all rows that have a vector answer."""
+    d = kb.table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    c = d.join(kb.table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), "chunk_id")
+    q = c.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("text").alias("query"), "vector")
+    return modes.search(q, c, mode, _mentions(spark, sf))
+
+
+@query()
+def search_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return _search(spark, sf, "graph")
+
+
+@query()
+def search_hybrid_graph_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    return _search(spark, sf, "hybrid_graph_rerank")
