@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import canonical_name
+from .chunking import char_windows
 
 #: An entity candidate (one to four capitalised words), names that are none, candidates of one text.
 ENTITY = r"\b[A-Z][A-Za-z0-9_/-]{2,}(?:[ \t]+[A-Z][A-Za-z0-9_/-]{2,}){0,3}\b"
@@ -32,6 +33,31 @@ def mentions(chunks: DataFrame) -> DataFrame:
     return found.select("chunk_id", "document_id", "name", F.size(F.filter("all", lambda x: x == F.col("name"))).cast("long").alias("mentions"))
 
 
+def chunk_mentions(texts: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
+    """``doc_id, chunk_index, name, display, mentions`` from ``texts(doc_id, text)``: where a text's own candidates stand in its chunks.
+
+    The first ``CANDIDATES`` names of a text, as they are first written, are sought in each of its chunks as
+    whole words, whatever their case; a name that a chunk's edge cuts isn't in it.
+    """
+    plain = F.regexp_replace("text", FOREIGN, "·")
+    found = F.transform(F.regexp_extract_all(plain, F.lit(ENTITY), F.lit(0)), lambda x: F.struct(canonical_name(x).alias("name"), F.regexp_replace(x, "[ \t]+", " ").alias("display")))
+    found = F.filter(found, lambda x: (x["name"] != "") & ~x["name"].isin(STOPWORDS))
+    held = texts.where("doc_id IS NOT NULL").select("doc_id", "text", found.alias("found")).where("size(found) > 0")
+    first = F.filter("found", lambda x, i: F.array_position(F.transform("found", lambda y: y["name"]), x["name"]) == i + 1)
+    chunks = char_windows(held.select("doc_id", "text", F.slice(first, 1, CANDIDATES).alias("first")), size, overlap).select("doc_id", "chunk_index", "chunk", F.explode("first").alias("c"))
+    bound = lambda way: F.lit(rf"(?{way}[\p{{L}}\p{{N}}_])")
+    pattern = F.concat(F.lit("(?i)"), bound("<!"), F.lit(r"\Q"), F.col("c.display"), F.lit(r"\E"), bound("!"))
+    counted = chunks.select("doc_id", "chunk_index", "c.name", "c.display", F.regexp_count("chunk", pattern).cast("long").alias("mentions"))
+    return counted.where("mentions > 0")
+
+
+def chunk_relations(mentions: DataFrame) -> DataFrame:
+    """``subject, object, chunks, confidence``, and the first chunk as evidence, of names that stand in one chunk."""
+    both = pairs(mentions.select(F.struct("doc_id", "chunk_index").alias("chunk"), "name"), "chunk")
+    told = both.groupBy("subject", "object").agg(F.count("*").alias("chunks"), F.min("chunk").alias("first"))
+    return told.select("subject", "object", "chunks", F.lit(CONFIDENCE).alias("confidence"), F.col("first.doc_id").alias("evidence_doc"), F.col("first.chunk_index").alias("evidence_chunk"))
+
+
 def aliases(name: Column) -> Column:
     """The canonical name, without blanks, and its initials if there are three."""
     parts = F.split(name, " ")
