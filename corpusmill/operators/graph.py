@@ -42,9 +42,11 @@ def chunk_mentions(texts: DataFrame, size: int = 500, overlap: int = 50) -> Data
     plain = F.regexp_replace("text", FOREIGN, "·")
     found = F.transform(F.regexp_extract_all(plain, F.lit(ENTITY), F.lit(0)), lambda x: F.struct(canonical_name(x).alias("name"), F.regexp_replace(x, "[ \t]+", " ").alias("display")))
     found = F.filter(found, lambda x: (x["name"] != "") & ~x["name"].isin(STOPWORDS))
-    held = texts.where("doc_id IS NOT NULL").select("doc_id", "text", found.alias("found")).where("size(found) > 0")
-    first = F.filter("found", lambda x, i: F.array_position(F.transform("found", lambda y: y["name"]), x["name"]) == i + 1)
-    chunks = char_windows(held.select("doc_id", "text", F.slice(first, 1, CANDIDATES).alias("first")), size, overlap).select("doc_id", "chunk_index", "chunk", F.explode("first").alias("c"))
+    held = texts.where("doc_id IS NOT NULL").select("doc_id", "text", found.alias("found")).select("doc_id", "text", F.col("found.name").alias("names"), F.col("found.display").alias("shown"))
+    own = F.slice(F.array_distinct("names"), 1, CANDIDATES)
+    held = held.select("doc_id", "text", "names", "shown", own.alias("own")).where("size(own) > 0")
+    first = F.transform("own", lambda x: F.struct(x.alias("name"), F.get("shown", (F.array_position("names", x) - 1).cast("int")).alias("display")))
+    chunks = char_windows(held.select("doc_id", "text", first.alias("first")), size, overlap).select("doc_id", "chunk_index", "chunk", F.explode("first").alias("c"))
     bound = lambda way: F.lit(rf"(?{way}[\p{{L}}\p{{N}}_])")
     pattern = F.concat(F.lit("(?i)"), bound("<!"), F.lit(r"\Q"), F.col("c.display"), F.lit(r"\E"), bound("!"))
     counted = chunks.select("doc_id", "chunk_index", "c.name", "c.display", F.regexp_count("chunk", pattern).cast("long").alias("mentions"))
