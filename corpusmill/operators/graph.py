@@ -44,13 +44,18 @@ def chunk_mentions(texts: DataFrame, size: int = 500, overlap: int = 50) -> Data
     found = F.filter(found, lambda x: (x["name"] != "") & ~x["name"].isin(STOPWORDS))
     held = texts.where("doc_id IS NOT NULL").select("doc_id", "text", found.alias("found")).select("doc_id", "text", F.col("found.name").alias("names"), F.col("found.display").alias("shown"))
     own = F.slice(F.array_distinct("names"), 1, CANDIDATES)
-    held = held.select("doc_id", "text", "names", "shown", own.alias("own")).where("size(own) > 0")
+    held = held.select("doc_id", "text", "names", "shown", own.alias("own"))
     first = F.transform("own", lambda x: F.struct(x.alias("name"), F.get("shown", (F.array_position("names", x) - 1).cast("int")).alias("display")))
-    chunks = char_windows(held.select("doc_id", "text", first.alias("first")), size, overlap).select("doc_id", "chunk_index", "chunk", F.explode("first").alias("c"))
-    bound = lambda way: F.lit(rf"(?{way}[\p{{L}}\p{{N}}_])")
-    pattern = F.concat(F.lit("(?i)"), bound("<!"), F.lit(r"\Q"), F.col("c.display"), F.lit(r"\E"), bound("!"))
-    counted = chunks.select("doc_id", "chunk_index", "c.name", "c.display", F.regexp_count("chunk", pattern).cast("long").alias("mentions"))
-    return counted.where("mentions > 0")
+    first = F.transform(first, lambda x: F.struct(x["name"].alias("name"), x["display"].alias("display"), _told_apart(x["display"]).alias("sought")))
+    chunks = char_windows(held.select("doc_id", "text", first.alias("first")), size, overlap).select("doc_id", "chunk_index", _told_apart(F.col("chunk")).alias("said"), F.explode_outer("first").alias("c"))  # outer: no filter is inferred that would find the names anew for each
+    without = F.length(F.replace("said", F.col("c.sought"), F.lit("")))
+    counted = ((F.length("said") - without) / F.length("c.sought")).cast("long")
+    return chunks.where(F.contains("said", F.col("c.sought"))).select("doc_id", "chunk_index", "c.name", "c.display", counted.alias("mentions"))
+
+
+def _told_apart(text: Column) -> Column:
+    """The text in lower case, every word between two marks, so that whole words are found by their characters alone."""
+    return F.lower(F.regexp_replace(text, r"[\p{L}\p{N}_]+", "\u0001$0\u0001"))
 
 
 def chunk_relations(mentions: DataFrame) -> DataFrame:

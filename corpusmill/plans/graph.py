@@ -154,14 +154,16 @@ def understand(spark: SparkSession, sf: str) -> DataFrame:
     return kb.table(spark, sf, "documents").where("length(trim(text)) > 0").select("doc_id", F.concat(F.lit("Deterministic summary: "), n, F.lit(" words, "), lines, F.lit(" lines.")).alias("summary"), (n < 20).alias("is_short"))
 
 
-#: Written out once more, without the operators' constants. Marks are doubled so that each side of a hit has its own.
+#: Written out once more, without the operators' constants. Words stand between marks, so a name's characters are found as whole words only.
 _CHUNK_MENTIONS = r"""WITH t AS (SELECT doc_id, text, regexp_extract_all(regexp_replace(text, '[A-Za-z0-9_]*[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{1FFF}\x{2C00}-\x{2DFF}\x{3040}-\x{D7FF}][\p{L}\p{N}_]*', '·', 'g'), '\b[A-Z][A-Za-z0-9_/-]{2,}(?:[ \t]+[A-Z][A-Za-z0-9_/-]{2,}){0,3}\b') AS l FROM documents),
 c AS (SELECT doc_id, text, unnest(l) AS raw, generate_subscripts(l, 1) AS k FROM t),
 n AS (SELECT doc_id, text, k, regexp_replace(raw, '[ \t]+', ' ', 'g') AS display, trim(regexp_replace(regexp_replace(lower(regexp_replace(trim(raw), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS name FROM c),
 f AS (SELECT doc_id, any_value(text) AS text, name, min(k) AS k, arg_min(display, k) AS display FROM n WHERE name <> '' AND name NOT IN ('a', 'an', 'and', 'does', 'for', 'how', 'should', 'that', 'the', 'then', 'this', 'what', 'when', 'where', 'which', 'who', 'why') GROUP BY doc_id, name QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(k)) <= 12),
-w AS (SELECT *, unnest(range(0, greatest(CAST(ceil((length(text) - 50) / 450.0) AS BIGINT), 1))) AS chunk_index FROM f),
-h AS (SELECT doc_id, chunk_index, name, display, CAST(len(regexp_extract_all(' ' || regexp_replace(substr(text, CAST(chunk_index * 450 + 1 AS INTEGER), 500), '([^\p{L}\p{N}_])', '\1\1', 'g') || ' ', '(?i)[^\p{L}\p{N}_]' || regexp_replace(display, '([^\p{L}\p{N}_])', '\1\1', 'g') || '[^\p{L}\p{N}_]')) AS BIGINT) AS mentions FROM w),
-m AS (SELECT * FROM h WHERE mentions > 0)"""
+x AS (SELECT doc_id, any_value(text) AS text FROM f GROUP BY doc_id),
+u AS (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil((length(text) - 50) / 450.0) AS BIGINT), 1))) AS chunk_index FROM x),
+v AS (SELECT doc_id, chunk_index, lower(regexp_replace(substr(text, CAST(chunk_index * 450 + 1 AS INTEGER), 500), '([\p{L}\p{N}_]+)', chr(1) || '\1' || chr(1), 'g')) AS said FROM u),
+h AS (SELECT v.doc_id, v.chunk_index, f.name, f.display, v.said, lower(regexp_replace(f.display, '([\p{L}\p{N}_]+)', chr(1) || '\1' || chr(1), 'g')) AS sought FROM v JOIN f USING (doc_id)),
+m AS (SELECT doc_id, chunk_index, name, display, CAST((length(said) - length(replace(said, sought, ''))) // length(sought) AS BIGINT) AS mentions FROM h WHERE contains(said, sought))"""
 
 
 def _in_chunks(spark, sf):
