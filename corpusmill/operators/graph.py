@@ -47,7 +47,8 @@ def chunk_mentions(texts: DataFrame, size: int = 500, overlap: int = 50) -> Data
     held = held.select("doc_id", "text", "names", "shown", own.alias("own"))
     first = F.transform("own", lambda x: F.struct(x.alias("name"), F.get("shown", (F.array_position("names", x) - 1).cast("int")).alias("display")))
     first = F.transform(first, lambda x: F.struct(x["name"].alias("name"), x["display"].alias("display"), _told_apart(x["display"]).alias("sought")))
-    chunks = char_windows(held.select("doc_id", "text", first.alias("first")), size, overlap).select("doc_id", "chunk_index", _told_apart(F.col("chunk")).alias("said"), F.explode_outer("first").alias("c"))  # outer: no filter is inferred that would find the names anew for each
+    chunks = char_windows(held.select("doc_id", "text", first.alias("first")), size, overlap).select("doc_id", "chunk_index", "first", _told_apart(F.col("chunk")).alias("said"))
+    chunks = chunks.select("doc_id", "chunk_index", "said", F.explode_outer("first").alias("c"))  # outer: no filter is inferred that would find the names anew for each
     without = F.length(F.replace("said", F.col("c.sought"), F.lit("")))
     counted = ((F.length("said") - without) / F.length("c.sought")).cast("long")
     return chunks.where(F.contains("said", F.col("c.sought"))).select("doc_id", "chunk_index", "c.name", "c.display", counted.alias("mentions"))
