@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import graph as G, modes
+from ..operators import graph as G, modes, retrieval as R
+from ..shared import materialize
 from . import kb
 
 QUERIES, SQL = {}, {}
@@ -98,10 +99,22 @@ def graph_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return G.chunk_scores(m, asked, G.expand(G.relations(m), asked))
 
 
-@query(_CHUNKS + ", d AS (SELECT doc_id AS chunk_id, round(1.0 / (doc_id + 1), 6)::DOUBLE AS base FROM documents) SELECT chunk_id, round(CASE WHEN base IS NULL THEN score WHEN score IS NULL THEN base ELSE greatest(base, 0.65 * base + 0.35 * score, score) END, 6)::DOUBLE AS merged FROM d FULL JOIN best USING (chunk_id)")
+_DISTANCE = "CASE WHEN list_sum(list_transform(a.embedding::DOUBLE[], lambda x: x * x)) = 0 OR list_sum(list_transform(v.embedding::DOUBLE[], lambda x: x * x)) = 0 THEN 1 ELSE round(1 - list_cosine_similarity(a.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) END"
+_MERGE = _CHUNKS + f""", h AS (SELECT chunk_id, count(*) AS n FROM m JOIN embeddings ON vec_id = chunk_id WHERE name IN (SELECT name FROM q) GROUP BY 1), t AS (SELECT chunk_id FROM h ORDER BY n DESC, chunk_id LIMIT 1),
+d AS (SELECT v.vec_id AS chunk_id, {_DISTANCE} AS distance FROM t JOIN embeddings a ON a.vec_id = t.chunk_id, embeddings v), k AS (SELECT chunk_id, round(1 - distance, 6) AS base FROM d ORDER BY distance, chunk_id LIMIT 20)"""
+
+
+@query(_MERGE + " SELECT chunk_id, round(CASE WHEN base IS NULL THEN score WHEN score IS NULL THEN base ELSE greatest(base, 0.65 * base + 0.35 * score, score) END, 6)::DOUBLE AS merged FROM k FULL JOIN best USING (chunk_id)")
 def graph_merge(spark: SparkSession, sf: str) -> DataFrame:
-    base = kb.table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.round(1.0 / (F.col("doc_id") + 1), 6).alias("base"))
-    return G.merge(base, graph_chunks(spark, sf)).select("chunk_id", "merged")
+    """The graph's chunks for the three names, merged with the 20 nearest of the chunk that has most of them."""
+    m = materialize(_mentions(spark, sf), "mentions")
+    asked = materialize(_asked(G.entities(m)), "asked")
+    v = kb.table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    held = m.join(F.broadcast(asked), "name", "left_semi").groupBy("chunk_id").agg(F.count("*").alias("n"))
+    asker = held.join(v.select("chunk_id"), "chunk_id").orderBy(F.desc("n"), "chunk_id").limit(1).select("chunk_id")
+    asker = materialize(v.join(F.broadcast(asker), "chunk_id", "left_semi").withColumnRenamed("chunk_id", "query_id"), "asker")
+    base = R.knn(asker, v, 20).select("chunk_id", F.round(1 - F.col("distance"), 6).alias("base"))
+    return G.merge(base, G.chunk_scores(m, F.broadcast(asked), G.expand(G.relations(m), F.broadcast(asked)))).select("chunk_id", "merged")
 
 
 #: Names in more than twenty documents pair each with the first alone.
