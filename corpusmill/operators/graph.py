@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import canonical_name
+from ..shared import small
 from .chunking import char_windows
 
 #: An entity candidate (one to four capitalised words), names that are none, candidates of one text.
@@ -107,8 +108,17 @@ def pairs(rows: DataFrame, within: str) -> DataFrame:
     return held.select(within, F.explode(both).alias("p")).select(within, "p.*")
 
 
-def relations(rows: DataFrame) -> DataFrame:
-    return pairs(rows.select("chunk_id", "name"), "chunk_id").groupBy("subject", "object").agg(F.count("*").alias("chunks")).withColumn("confidence", F.lit(CONFIDENCE))
+def touching(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """``chunk_id, subject, object, ends``: pairs in a chunk of which one or both are ``asked(name)``, a stated, broadcast few."""
+    end = lambda c: asked.select(F.col("name").alias(c), F.lit(1).alias(f"{c}_hit"))
+    p = pairs(rows.select("chunk_id", "name"), "chunk_id").join(end("subject"), "subject", "left").join(end("object"), "object", "left")
+    return p.select("chunk_id", "subject", "object", (F.coalesce("subject_hit", F.lit(0)) + F.coalesce("object_hit", F.lit(0))).alias("ends")).where("ends > 0")
+
+
+def relations(rows: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Pairs of names that share a chunk, and in how many; with ``asked``, those that touch one of them alone."""
+    p = pairs(rows.select("chunk_id", "name"), "chunk_id") if asked is None else touching(rows, asked)
+    return p.groupBy("subject", "object").agg(F.count("*").alias("chunks")).withColumn("confidence", F.lit(CONFIDENCE))
 
 
 def expand(related: DataFrame, asked: DataFrame) -> DataFrame:
@@ -121,10 +131,9 @@ def expand(related: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def chunk_scores(rows: DataFrame, asked: DataFrame, expanded: DataFrame) -> DataFrame:
-    """Best boost of every chunk: by an asked name in it, or by both ends of an expanded relation."""
+    """Best boost of every chunk: by an asked name in it, or by both ends of an expanded relation (of which one is asked)."""
     own = rows.join(asked, "name", "left_semi").select("chunk_id", F.lit(round((0.82 + 0.16) * CONFIDENCE, 6)).alias("score"))
-    a, b = rows.select("chunk_id", F.col("name").alias("subject")), rows.select("chunk_id", F.col("name").alias("object"))
-    related = a.join(expanded, "subject").join(b, ["chunk_id", "object"]).select("chunk_id", "score")
+    related = touching(rows, asked).join(small(expanded), ["subject", "object"]).select("chunk_id", "score")
     return own.unionByName(related).groupBy("chunk_id").agg(F.max("score").alias("score"))
 
 

@@ -85,8 +85,9 @@ _REL = _R + _Q + ", x AS (SELECT subject, object, (subject IN (SELECT name FROM
 
 @query(_REL + " SELECT subject, object, score FROM s")
 def graph_relations(spark: SparkSession, sf: str) -> DataFrame:
-    m = _mentions(spark, sf)
-    return G.expand(G.relations(m), _asked(G.entities(m))).select("subject", "object", "score")
+    m = materialize(_mentions(spark, sf), "mentions")
+    asked = _asked(G.entities(m))
+    return G.expand(G.relations(m, asked), asked).select("subject", "object", "score")
 
 
 _CHUNKS = _REL + ", b AS (SELECT chunk_id, round(least((0.82 + 0.16) * 0.65, 1), 6)::DOUBLE AS score FROM m WHERE name IN (SELECT name FROM q) UNION ALL SELECT a.chunk_id, s.score FROM s JOIN m a ON a.name = s.subject JOIN m b ON b.name = s.object AND a.chunk_id = b.chunk_id), best AS (SELECT chunk_id, max(score) AS score FROM b GROUP BY 1)"
@@ -94,9 +95,12 @@ _CHUNKS = _REL + ", b AS (SELECT chunk_id, round(least((0.82 + 0.16) * 0.65, 1),
 
 @query(_CHUNKS + " SELECT chunk_id, score FROM best")
 def graph_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    m = _mentions(spark, sf)
-    asked = _asked(G.entities(m))
-    return G.chunk_scores(m, asked, G.expand(G.relations(m), asked))
+    m = materialize(_mentions(spark, sf), "mentions")
+    return _boosts(m, F.broadcast(materialize(_asked(G.entities(m)), "asked")))
+
+
+def _boosts(m, asked):
+    return G.chunk_scores(m, asked, materialize(G.expand(G.relations(m, asked), asked), "expanded"))
 
 
 _DISTANCE = "CASE WHEN list_sum(list_transform(a.embedding::DOUBLE[], lambda x: x * x)) = 0 OR list_sum(list_transform(v.embedding::DOUBLE[], lambda x: x * x)) = 0 THEN 1 ELSE round(1 - list_cosine_similarity(a.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) END"
@@ -108,13 +112,13 @@ d AS (SELECT v.vec_id AS chunk_id, {_DISTANCE} AS distance FROM t JOIN embedding
 def graph_merge(spark: SparkSession, sf: str) -> DataFrame:
     """The graph's chunks for the three names, merged with the 20 nearest of the chunk that has most of them."""
     m = materialize(_mentions(spark, sf), "mentions")
-    asked = materialize(_asked(G.entities(m)), "asked")
+    asked = F.broadcast(materialize(_asked(G.entities(m)), "asked"))
     v = kb.table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
-    held = m.join(F.broadcast(asked), "name", "left_semi").groupBy("chunk_id").agg(F.count("*").alias("n"))
+    held = m.join(asked, "name", "left_semi").groupBy("chunk_id").agg(F.count("*").alias("n"))
     asker = held.join(v.select("chunk_id"), "chunk_id").orderBy(F.desc("n"), "chunk_id").limit(1).select("chunk_id")
     asker = materialize(v.join(F.broadcast(asker), "chunk_id", "left_semi").withColumnRenamed("chunk_id", "query_id"), "asker")
     base = R.knn(asker, v, 20).select("chunk_id", F.round(1 - F.col("distance"), 6).alias("base"))
-    return G.merge(base, G.chunk_scores(m, F.broadcast(asked), G.expand(G.relations(m), F.broadcast(asked)))).select("chunk_id", "merged")
+    return G.merge(base, _boosts(m, asked)).select("chunk_id", "merged")
 
 
 #: Names in more than twenty documents pair each with the first alone.
