@@ -10,7 +10,7 @@ bracketed by their ends.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..shared import materialize, small
 from .ordered import running
@@ -19,6 +19,18 @@ from .ordered import running
 ACCURACY, WHOLE = 10_000, 100_000
 
 
+def between(a: Column, b: Column, share: Column) -> Column:
+    """``a * (1 - share) + b * share`` with the first product and the sum rounded once, so that a value on the edge of a digit stays there."""
+    high = lambda x: x * 134217729.0 - (x * 134217729.0 - x)
+    rest, last = 1 - share, b * share
+    p, ah, rh = a * rest, high(a), high(1 - share)
+    lost = ((ah * rh - p) + ah * (rest - rh) + (a - ah) * rh) + (a - ah) * (rest - rh)
+    s = p + last
+    z = s - p
+    exact = s + (((p - (s - z)) + (last - z)) + lost)
+    return F.when(share == 0, a).when((F.abs(a) < 1e280) & (F.abs(b) < 1e280), exact).otherwise(p + last)
+
+
 def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], nearest: bool = False) -> DataFrame:
     """``by, n, low, high, mean`` and a column for each of ``shares`` (name to share, 0 to 1). Null values are left out.
 
@@ -63,7 +75,7 @@ def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, fl
     last, first = F.col("below") + F.col("upto"), F.col("below") + F.col("upto") - F.col("c")
     value_at = lambda r: F.max(F.when((first <= F.col(r)) & (F.col(r) < last), F.col("v")))
     found = placed.groupBy("g", "name").agg(value_at("rank").alias("a"), value_at("next").alias("b"), F.first("rest").alias("rest"))
-    wide = found.withColumn("x", F.col("a") + F.col("rest") * (F.col("b") - F.col("a"))).groupBy("g").pivot("name", names).agg(F.first("x"))
+    wide = found.withColumn("x", between(F.col("a"), F.col("b"), F.col("rest"))).groupBy("g").pivot("name", names).agg(F.first("x"))
     return stats.select("g", "n", "low", "high", "mean").join(wide, "g").select(*(F.col(f"g.{b}").alias(b) for b in by), "n", "low", "high", "mean", *names)
 
 
