@@ -36,6 +36,9 @@ class Cache:
         self.times: list[float] = []
         self.hits: list[int] = []
         self.units: list[np.ndarray] = []
+        # The same units as rows of one matrix, from ``_from`` on, while all are finite and of one dimension.
+        self._rows: np.ndarray | None = None
+        self._from, self._even = 0, True
 
     def load(self, entries: list[tuple]) -> Cache:
         for entry_id, at, hits, unit in entries:
@@ -50,11 +53,38 @@ class Cache:
         self.times.append(at)
         self.hits.append(hits)
         self.units.append(unit)
+        if not self._even:
+            return
+        if len(self.units) == 1:
+            self._from = 0
+            if self._rows is None or self._rows.shape[1] != unit.size:
+                self._rows = np.empty((2 * self.most + 1, unit.size))
+        at = self._from + len(self.units) - 1
+        if self._rows.shape[1] != unit.size or not np.isfinite(unit).all() or len(self.units) > self.most:
+            self._even = False
+            return
+        if at == len(self._rows):
+            self._rows[: len(self.units) - 1] = self._rows[self._from : at].copy()
+            self._from, at = 0, len(self.units) - 1
+        self._rows[at] = unit
+
+    def _nearest(self, unit: np.ndarray) -> tuple[float, int]:
+        """The highest similarity, and the first entry that has it."""
+        if not self.units:
+            return -1.0, 0
+        if self._even and self._rows.shape[1] == unit.size:
+            likes = self._rows[self._from : self._from + len(self.units)] @ unit
+            k = int(likes.argmax())
+            return float(likes[k]), k
+        best, k = max(((float((unit * u).sum()), -k) for k, u in enumerate(self.units) if u.size == unit.size), default=(-1.0, 0))
+        return best, -k
 
     def _pop(self, k: int) -> int:
         gone = self.ids[k]
         for held in (self.ids, self.times, self.hits, self.units):
             del held[k]
+        self._from += 1
+        self._even = self._even and k == 0 or not self.ids
         return gone
 
     def expire(self, now: float) -> list[tuple]:
@@ -74,11 +104,10 @@ class Cache:
             return [*out, (event_id, at, "miss", None, None, None)]
         v = np.asarray(vector, np.float64)
         unit = v / (np.sqrt((v * v).sum()) or 1.0)
-        likes = [(float((unit * u).sum()), -k) for k, u in enumerate(self.units) if u.size == unit.size]
-        best, k = max(likes, default=(-1.0, 0))
+        best, k = self._nearest(unit)
         if best >= self.threshold - 1e-12:
-            self.hits[-k] += 1
-            return [*out, (event_id, at, "hit", self.ids[-k], round(best, 6), self.hits[-k])]
+            self.hits[k] += 1
+            return [*out, (event_id, at, "hit", self.ids[k], round(best, 6), self.hits[k])]
         while len(self.ids) >= self.most:
             out.append((event_id, at, "evict", self._pop(0), None, None))
         # Times don't run backwards, so that the oldest entry is the first; a late ask counts as one of now.
@@ -96,7 +125,10 @@ def replay(events: DataFrame, threshold: float = 0.95, ttl: float | None = 3600,
         kb, cache = None, None
         for batch in batches:
             out = []
-            for name, event_id, at, kind, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            size = np.asarray(batch.column(4).value_lengths().fill_null(-1))
+            flat, ends = np.asarray(batch.column(4).flatten().fill_null(np.nan)), np.cumsum(np.maximum(size, 0)).tolist()
+            vectors = [flat[end - n : end] if n >= 0 else None for n, end in zip(size.tolist(), ends, strict=True)]
+            for name, event_id, at, kind, vector in zip(*(c.to_pylist() for c in batch.columns[:4]), vectors, strict=True):
                 if name != kb:
                     kb, cache = name, Cache(threshold, ttl, most)
                 out += [(name, *row) for row in cache.take(event_id, at, kind, vector)]
@@ -104,8 +136,9 @@ def replay(events: DataFrame, threshold: float = 0.95, ttl: float | None = 3600,
                 yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out, strict=True), _KINDS, strict=True)], names=NAMES)
 
     at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at")
-    rows = events.where("kb IS NOT NULL AND event_id IS NOT NULL AND ts IS NOT NULL").select(F.col("kb").cast("string").alias("kb"), F.col("event_id").cast("long").alias("event_id"), at, F.col("kind").cast("string").alias("kind"), F.col("vector").cast("array<double>").alias("vector"))
-    return rows.repartition("kb").sortWithinPartitions("kb", "at", "event_id").mapInArrow(run, SCHEMA)
+    rows = events.where("kb IS NOT NULL AND event_id IS NOT NULL AND ts IS NOT NULL").select(F.col("kb").cast("string").alias("kb"), F.col("event_id").cast("long").alias("event_id"), at, F.col("kind").cast("string").alias("kind"), "vector")
+    rows = rows.repartition("kb").sortWithinPartitions("kb", "at", "event_id")
+    return rows.withColumn("vector", F.col("vector").cast("array<double>")).mapInArrow(run, SCHEMA)
 
 
 def summary(actions: DataFrame) -> DataFrame:
