@@ -20,6 +20,16 @@ LOWER = ("mean_rank_of_expected", "zero_result_rate")
 APPEARED, WEIGHTS = 99, {"hit_at_5": 0.4, "mrr": 0.3, "context_precision_mean": 0.2, "answer_correctness_mean": 0.1}
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """``value`` to so many digits as SQL engines round doubles: the scaled value goes to the nearest whole number, halves away from zero."""
+    return F.round(value * 10.0**digits, 0) / 10.0**digits
+
+
+def exact_sum(value: Column) -> Column:
+    """The sum of shares (0 to 1) in a group, whatever the order of rows: a sum of up to nine digits is exact."""
+    return F.round(F.sum(value.cast("decimal(28,18)")), 9).cast("double")
+
+
 def _split(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"\s+"), "")
 
@@ -43,7 +53,7 @@ def evaluate(golden: DataFrame, results: DataFrame, texts: DataFrame, top_k: int
         F.count("*").alias("results"), F.min(F.when(F.size("ks") > 0, F.col("rank"))).alias("rank"), F.coalesce(F.bool_or(F.array_contains("ks", 0)), F.lit(False)).alias("whole"),
         F.count_if(F.size(relevant(F.col("ks"))) > 0).alias("right"), F.size(F.array_distinct(F.flatten(F.collect_list(relevant(F.coalesce("ks", F.array().cast("array<int>"))))))).alias("covered"))
     words = results.join(golden.select("item_id", F.array_distinct(_split(F.col("citation"))).alias("target")), "item_id").join(seen, "doc_id")
-    words = words.select("mode", "item_id", F.size("target").alias("n"), F.explode(F.array_intersect("target", _split(F.col("text")))).alias("word")).groupBy("mode", "item_id").agg(F.round(F.count_distinct("word") / F.first("n"), 4).alias("overlap"))
+    words = words.select("mode", "item_id", F.size("target").alias("n"), F.explode(F.array_intersect("target", _split(F.col("text")))).alias("word")).groupBy("mode", "item_id").agg(rounded(F.count_distinct("word") / F.first("n"), 4).alias("overlap"))
 
     every = golden.select("item_id", "tags", F.size("relevant").alias("wanted")).crossJoin(F.broadcast(results.select("mode").distinct()))  # a run has a handful of modes
     out = every.join(own, ["mode", "item_id"], "left").join(words, ["mode", "item_id"], "left")
@@ -56,11 +66,11 @@ def evaluate(golden: DataFrame, results: DataFrame, texts: DataFrame, top_k: int
 def metrics(items: DataFrame, *by: str) -> DataFrame:
     """Summary of each group of items; every item counts, also one without results."""
     n, rank = F.count("*"), F.col("rank")
-    mean = lambda c: F.round(F.avg(c), 4)
+    mean = lambda c: rounded(exact_sum(F.col(c)) / n, 4)
     return items.groupBy(*by).agg(
-        n.alias("total"), *(F.round(F.count_if(rank <= k) / n, 4).alias(f"hit_at_{k}") for k in (1, 3, 5)), F.round(F.sum("mrr") / n, 4).alias("mrr"), F.round(F.avg("rank"), 2).alias("mean_rank_of_expected"),
+        n.alias("total"), *(rounded(F.count_if(rank <= k) / n, 4).alias(f"hit_at_{k}") for k in (1, 3, 5)), mean("mrr").alias("mrr"), rounded(F.avg("rank"), 2).alias("mean_rank_of_expected"),
         mean("coverage").alias("citation_coverage_mean"), mean("precision").alias("context_precision_mean"), mean("recall").alias("context_recall_mean"),
-        F.count_if(F.col("results") == 0).alias("zero_result_count"), F.round(F.count_if(F.col("results") == 0) / n, 4).alias("zero_result_rate"))
+        F.count_if(F.col("results") == 0).alias("zero_result_count"), rounded(F.count_if(F.col("results") == 0) / n, 4).alias("zero_result_rate"))
 
 
 def per_tag(items: DataFrame) -> DataFrame:
