@@ -5,7 +5,7 @@ driver work of fixed size), clusters their directions, and sets how many lists a
 the fewest with which held-in queries find ``target`` of their true neighbours in the sample. ``build``
 assigns every vector in Arrow batches and range-partitions rows by list and id, so a list that a third
 of all rows are in is spread over tasks. ``search`` broadcasts blocks of queries (a stated set) with the
-lists that each probes; vectors aren't shuffled, and each batch gives up its best k a query.
+lists that each probes; vectors aren't shuffled, and each task gives up its best k a query.
 
 Distances are those of ``retrieval.knn``; exact search stays there. Rows without id, without vector
 or of another dimension than the sample's are left out. A zero vector is at distance 1 of all.
@@ -15,12 +15,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-SAMPLE, QUERY_BLOCK, ROUNDS = 20_000, 1_000, 12
+from .retrieval import LAST, PACK, close, keep_best
+
+SAMPLE, QUERY_BLOCK, ROUNDS = 20_000, 16_384, 12
 _FOUND = "query_id long, chunk_id long, distance double"
 
 
@@ -122,20 +125,19 @@ def search(queries: DataFrame, index: DataFrame, fitted: Fitted, k: int, probes:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, units, asks = sent.value
+            best, found = np.full((len(ids), k), np.inf), np.full((len(ids), k), LAST)
             for batch in batches:
                 chunk, lists = np.asarray(batch.column(0)), np.asarray(batch.column(1))
                 v = _units(_matrix(batch.column(2), size)[0])
-                best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for one in np.unique(lists):
                     rows, who = np.flatnonzero(lists == one), np.flatnonzero(asks[:, one])
-                    if not len(who):
-                        continue
-                    d = np.round(1 - np.clip(units[who] @ v[rows].T, -1, 1), 6)
-                    d[~units[who].any(axis=1)] = 1.0
-                    top = np.lexsort((np.broadcast_to(chunk[rows], d.shape), d), axis=1)[:, :k]
-                    best.append((np.repeat(ids[who], top.shape[1]), chunk[rows][top].ravel(), np.take_along_axis(d, top, axis=1).ravel()))
-                if best:
-                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*best, strict=True)], names=["query_id", "chunk_id", "distance"])
+                    for at, row in product(range(0, len(who), PACK), range(0, len(rows), PACK)):
+                        some, part = who[at : at + PACK], rows[row : row + PACK]
+                        held = best[some], found[some]
+                        keep_best(held, chunk[part], *close(units[some], v[part], held[0][:, -1], k))
+                        best[some], found[some] = held
+            got = ~np.isinf(best)
+            yield pa.record_batch([pa.array(np.repeat(ids, got.sum(axis=1))), pa.array(found[got]), pa.array(best[got])], names=["query_id", "chunk_id", "distance"])
 
         hit = index.mapInArrow(run, _FOUND)
         found = hit if found is None else found.unionByName(hit)
