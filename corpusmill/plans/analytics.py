@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import quantiles
+from ..shared import materialize
 from . import kb
 
 QUERIES, SQL = {}, {}
+#: Rows of a side that one task of a chain's join sorts.
+_ROWS = 1_000_000
 
 
 def query(sql: str | None = None):
@@ -213,14 +216,20 @@ def profile_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH RECURSIVE t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey - 1 END AS prev FROM orders), c AS (SELECT id, id AS root, 0 AS attempt FROM t WHERE prev IS NULL OR prev NOT IN (SELECT id FROM t) UNION ALL SELECT t.id, c.root, c.attempt + 1 FROM t JOIN c ON t.prev = c.id) SELECT id, root, CAST(attempt AS BIGINT) AS attempt FROM c")
 def retry_chain(spark: SparkSession, sf: str) -> DataFrame:
-    """Chains have at most three retries here, the engine's own bound, so three joins close them."""
+    """Chains have at most three retries here, the engine's own bound, so three joins close them.
+
+    Every join is shuffled and merged, ``_ROWS`` rows a task: file sizes would say that ids are few enough to send to all.
+    """
     t = kb.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderkey") - 1).alias("prev"))
-    known = t.select(F.col("id").alias("known"))
-    t = t.join(known, F.col("prev") == F.col("known"), "left").select("id", F.col("known").alias("prev"))
-    out = t.where("prev IS NULL").select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("attempt"))
-    last = out
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-t.count() // _ROWS))
+    by = lambda rows, key: rows.repartition(width, key).hint("merge")
+    retries = t.where("prev IS NOT NULL")
+    lost = by(retries, "prev").join(by(t.select(F.col("id").alias("prev")), "prev"), "prev", "left_anti")
+    begun = t.where("prev IS NULL").select("id").unionByName(lost.select("id"))
+    out = last = materialize(begun.select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("attempt")), "attempts")
     for _ in range(3):
-        last = t.join(last.select(F.col("id").alias("prev"), "root", "attempt"), "prev").select("id", "root", (F.col("attempt") + 1).alias("attempt"))
+        before = last.select(F.col("id").alias("prev"), "root", "attempt")
+        last = materialize(by(retries, "prev").join(by(before, "prev"), "prev").select("id", "root", (F.col("attempt") + 1).alias("attempt")), "attempts")
         out = out.unionByName(last)
     return out
 
