@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..shared import materialize
+from ..shared import materialize, small
 from .containment import contains_join
 
 #: Metrics of which more is better, and of which less is.
@@ -42,7 +42,7 @@ def evaluate(golden: DataFrame, results: DataFrame, texts: DataFrame, top_k: int
     retrieved text holds the citation, else the share of its words that the retrieved texts have.
     """
     results = materialize(results.where(F.col("rank") <= top_k).select("mode", "item_id", "rank", "doc_id"), "results")
-    seen = materialize(texts.join(results.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text"), "seen")
+    seen = materialize(texts.join(small(results.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text"), "seen")
     golden = golden.select("item_id", "citation", F.array_distinct(F.coalesce(F.when(F.size("relevant") > 0, F.col("relevant")), F.array("citation"))).alias("relevant"), "tags")
     asked = golden.select("item_id", F.posexplode(F.concat(F.array("citation"), "relevant")).alias("k", "pattern")).select(F.struct("item_id", "k").alias("pattern_id"), "pattern")
     found = contains_join(asked, seen.select(F.col("doc_id").alias("text_id"), "text")).select("pattern_id.item_id", "pattern_id.k", F.col("text_id").alias("doc_id"))
