@@ -143,8 +143,10 @@ def _by_letters(queries: DataFrame, known: DataFrame, top: int) -> DataFrame:
                     some = keys[at : at + 50_000]
                     yield pa.record_batch([pa.array([no] * len(some), pa.int64()), pa.array(some, pa.string())], names=["no", "key"])
 
-    met = queries.select("no", "compact").mapInArrow(cut, "no long, key string").join(rows, "key").select("no", "alias", "name")
-    return met.join(queries.select("no", "query_id", "compact"), "no").where(F.contains("compact", "alias")).select("no", "query_id", "name", F.lit(1.0).alias("score")).distinct()
+    # Keys are never broadcast: Spark takes them for as many as the texts that they are cut from.
+    keys = queries.select("no", "compact").mapInArrow(cut, "no long, key string").hint("merge")
+    met = keys.join(small(rows), "key").select("no", "alias", "name")
+    return met.join(queries.select("no", "query_id", "compact").hint("merge"), "no").where(F.contains("compact", "alias")).select("no", "query_id", "name", F.lit(1.0).alias("score")).distinct()
 
 
 def _by_terms(queries: DataFrame, known: DataFrame, top: int) -> DataFrame:
@@ -158,7 +160,8 @@ def _by_terms(queries: DataFrame, known: DataFrame, top: int) -> DataFrame:
                     yield pa.record_batch([pa.array([name] * len(some), pa.string()), pa.array([list(x) for x in some], pa.list_(pa.string()))], names=["name", "shared"])
 
     rows = _firsts(known.where("size(terms) > 0").select("name", "terms").mapInArrow(sets, "name string, shared array<string>"), "shared", top)
-    asked = queries.select("no", "query_id", F.explode("asked").alias("key"), "asked")
+    # As above: a row for each term, and each with all of them, is far more than the table that it comes from.
+    asked = queries.select("no", "query_id", F.explode("asked").alias("key"), "asked").hint("merge")
     # A set waits at its longest term, which is in fewer texts than a short one as a rule.
     key = F.element_at(F.array_sort("shared", lambda a, b: F.length(a) - F.length(b)), -1)
     met = asked.join(rows.withColumn("key", key), "key").where(F.size(F.array_intersect("shared", "asked")) == F.size("shared"))

@@ -38,7 +38,7 @@ def graph_scores(queries: DataFrame, mentions: DataFrame, limit: int = 20) -> Da
     relation = lambda path, bonus: F.round(F.least(F.lit(1.0), ((0.72 + 0.18 * path) * CO_MENTION + bonus) * WEIGHT), 6)
     one = small(matched).join(_first(ends.distinct(), ["name"], limit), "name").select("query_id", "chunk_id", relation(F.col("score"), 0.08).alias("score"))
     a, b = matched.select("query_id", F.col("name").alias("subject"), F.col("score").alias("a")), matched.select("query_id", F.col("name").alias("object"), F.col("score").alias("b"))
-    both = a.join(b, "query_id").where("subject < object").join(evidence, ["subject", "object"]).select("query_id", "chunk_id", relation(F.greatest("a", "b"), 0.25).alias("score"))
+    both = a.join(small(b), "query_id").where("subject < object").hint("merge").join(evidence.hint("merge"), ["subject", "object"]).select("query_id", "chunk_id", relation(F.greatest("a", "b"), 0.25).alias("score"))
     own = _first(mentions.join(asked, "name", "left_semi").select("name", "chunk_id").distinct(), ["name"], limit)
     by_name = small(matched).join(own, "name").select("query_id", "chunk_id", ((0.82 + 0.16 * F.col("score")) * NAME).alias("score"))
     strong = materialize(_best(one.unionByName(both).unionByName(by_name), limit), "strong")
@@ -80,7 +80,7 @@ def search(queries: DataFrame, chunks: DataFrame, mode: str, mentions: DataFrame
     near = R.knn(queries.select("query_id", "vector"), chunks.select("chunk_id", "vector"), candidate_k if mode != "dense" else top_k)
     found = near.select("query_id", "chunk_id", F.round(1 - F.col("distance"), 6).alias("score"))
     if "graph" in mode:
-        graph = graph_scores(queries.select("query_id", "query"), mentions, max(candidate_k, top_k)).join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+        graph = graph_scores(queries.select("query_id", "query"), mentions, max(candidate_k, top_k)).join(chunks.select("chunk_id").hint("merge"), "chunk_id", "left_semi")
         both = found.withColumnRenamed("score", "base").join(graph, ["query_id", "chunk_id"], "full")
         weight = max(0.0, min(graph_weight, 1.0))
         blend = F.greatest("base", (1 - weight) * F.col("base") + weight * F.col("score"), "score")  # greatest leaves nulls out
@@ -95,5 +95,5 @@ def search(queries: DataFrame, chunks: DataFrame, mode: str, mentions: DataFrame
             found = materialize(fused.select("query_id", "chunk_id", F.col("fused").alias("score"), "rank"), "fused")
         if "rerank" in mode:
             lap = said.select("query_id", "chunk_id", R.overlap(F.col("query"), F.col("text")).alias("lap"))
-            found = found.drop("score").join(lap, ["query_id", "chunk_id"]).select("query_id", "chunk_id", F.col("lap").alias("score"), F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lap"), "rank")).cast("long").alias("rank"))
+            found = found.drop("score").join(lap.hint("merge"), ["query_id", "chunk_id"]).select("query_id", "chunk_id", F.col("lap").alias("score"), F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lap"), "rank")).cast("long").alias("rank"))
     return found.where(F.col("rank") <= top_k).select("query_id", "chunk_id", "score", "rank")
