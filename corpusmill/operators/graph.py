@@ -97,7 +97,9 @@ def match(queries: DataFrame, names: DataFrame, top: int = 8, head: int = HEAD)
     q = materialize(q.repartition(width).withColumn("no", F.monotonically_increasing_id()), "queries")  # few rows and much work
     sought = F.filter(aliases(F.col("name")), lambda x: ~x.contains(" "))
     known = materialize(names.select("name").distinct().select("name", sought.alias("sought"), terms(F.col("name")).alias("terms")), "names")
-    first = [(r.name, r.sought) for r in known.orderBy("name").limit(head + 1).select("name", "sought").collect()]
+    # Written first: a collect would take as many rows from each partition to the driver.
+    first = materialize(known.orderBy("name").limit(head + 1).select("name", "sought"), "first")
+    first = sorted((r.name, r.sought) for r in first.collect())
     whole, first = len(first) <= head, first[:head]
     given = spark.sparkContext.broadcast(first)
 
